@@ -1,0 +1,34 @@
+"""The queries of the training-data problems and, where SQL can express one, its SQL."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from claimloom.llm import knn, split
+from claimloom.session import read_table
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    pieces = split.oversized_paragraph_pieces(read_table(spark, d, "patents"))
+    return pieces.where(F.col("piece_no") == 1).select("patent_id", "paragraph_no")
+
+
+def p1_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return split.oversized_paragraph_pieces(read_table(spark, d, "patents"))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    pairs = knn.similar_pairs(read_table(spark, d, "search_records"), "record_id", "embedding", 10, 0.9)
+    return pairs.select(F.col("a").alias("record_id_a"), F.col("b").alias("record_id_b"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": p1_found,
+    "p1_pieces": p1_pieces,
+    "p2_found": p2_found,
+}
+
+SQL: dict[str, str] = {}
