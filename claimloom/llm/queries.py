@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimloom.llm import knn, split
+from claimloom.llm import keyness, knn, leaks, rankfuse, split, splits
 from claimloom.session import read_table
 
 
@@ -25,10 +25,60 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return pairs.select(F.col("a").alias("record_id_a"), F.col("b").alias("record_id_b"))
 
 
+def _distinctive(spark: SparkSession, d: str, min_count: int) -> DataFrame:
+    return keyness.distinctive_terms(read_table(spark, d, "search_records"), "record_id", "patent_id", ["title", "text"], min_count=min_count)
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return _distinctive(spark, d, 3).where("n >= 3 AND groups <= 3").select("record_id", "term")
+
+
+def p3_scores(spark: SparkSession, d: str) -> DataFrame:
+    return _distinctive(spark, d, 1).withColumn("z", F.round("z", 6))
+
+
+def p5_ranking(spark: SparkSession, d: str) -> DataFrame:
+    return rankfuse.fused_ranking(read_table(spark, d, "hits"), "run_id", "record_id", ["score", "rerank_score"], ["bm25_rank", "vector_rank"])
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return p5_ranking(spark, d).where("sum_place <= 3").select("run_id", "record_id")
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    found = splits.record_components(read_table(spark, d, "feature_rows"), "query_id", "patent_id")
+    return found.where("linked").select(F.col("record").alias("query_id"), F.col("component").alias("group_id"))
+
+
+def p6_splits(spark: SparkSession, d: str) -> DataFrame:
+    shares = {"train": 0.8, "validation": 0.1, "test": 0.1}
+    return splits.grouped_splits(read_table(spark, d, "feature_rows"), "query_id", "patent_id", shares)
+
+
+def _leaks(spark: SparkSession, d: str, most_edits: int) -> DataFrame:
+    return leaks.leaks(read_table(spark, d, "documents"), "doc_id", "text", read_table(spark, d, "eval_passages"), "item_id", "text", most_edits=most_edits)
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return _leaks(spark, d, 0).select("doc_id", "item_id")
+
+
+def p7_leaks(spark: SparkSession, d: str) -> DataFrame:
+    return _leaks(spark, d, 1)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_pieces": p1_pieces,
     "p2_found": p2_found,
+    "p3_found": p3_found,
+    "p3_scores": p3_scores,
+    "p5_found": p5_found,
+    "p5_ranking": p5_ranking,
+    "p6_found": p6_found,
+    "p6_splits": p6_splits,
+    "p7_found": p7_found,
+    "p7_leaks": p7_leaks,
 }
 
 SQL: dict[str, str] = {}
