@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimloom.llm import keyness, knn, leaks, rankfuse, split, splits
+from claimloom.llm import keyness, knn, leaks, mix, mojibake, neardup, rankfuse, split, splits
 from claimloom.session import read_table
 
+#: The vocabulary that sizes are counted with; any byte-level one in tiktoken's format will do.
+TOKENIZER = os.environ.get("CLAIMLOOM_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.tiktoken")
+
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     pieces = split.oversized_paragraph_pieces(read_table(spark, d, "patents"))
@@ -37,6 +41,15 @@ def p3_scores(spark: SparkSession, d: str) -> DataFrame:
     return _distinctive(spark, d, 1).withColumn("z", F.round("z", 6))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    pairs = neardup.near_duplicate_pairs(neardup.patent_texts(read_table(spark, d, "patents")), "patent_id", "text", 3, 0.7)
+    return pairs.select(F.col("key_a").alias("patent_id_a"), F.col("key_b").alias("patent_id_b"))
+
+
+def p4_groups(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.near_duplicate_groups(neardup.patent_texts(read_table(spark, d, "patents")), "patent_id", "text")
+
+
 def p5_ranking(spark: SparkSession, d: str) -> DataFrame:
     return rankfuse.fused_ranking(read_table(spark, d, "hits"), "run_id", "record_id", ["score", "rerank_score"], ["bm25_rank", "vector_rank"])
 
@@ -67,18 +80,49 @@ def p7_leaks(spark: SparkSession, d: str) -> DataFrame:
     return _leaks(spark, d, 1)
 
 
+def _mixture(spark: SparkSession, d: str, sizes=None) -> mix.Mixture:
+    return mix.Mixture(read_table(spark, d, "documents"), "source", "text", "doc_id", read_table(spark, d, "source_weights"), sizes=sizes)
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return _mixture(spark, d).report().where("short").select("source")
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    return _mixture(spark, d, mix.tokenizer_sizes(TOKENIZER)).report()
+
+
+def p8_plan(spark: SparkSession, d: str) -> DataFrame:
+    return _mixture(spark, d, mix.tokenizer_sizes(TOKENIZER)).plan("doc_id")
+
+
+def p9_mended(spark: SparkSession, d: str) -> DataFrame:
+    return mojibake.mend_encoding(read_table(spark, d, "documents"), "doc_id", "text")
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return p9_mended(spark, d).select("doc_id").distinct()
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_pieces": p1_pieces,
     "p2_found": p2_found,
     "p3_found": p3_found,
     "p3_scores": p3_scores,
+    "p4_found": p4_found,
+    "p4_groups": p4_groups,
     "p5_found": p5_found,
     "p5_ranking": p5_ranking,
     "p6_found": p6_found,
     "p6_splits": p6_splits,
     "p7_found": p7_found,
     "p7_leaks": p7_leaks,
+    "p8_found": p8_found,
+    "p8_shares": p8_shares,
+    "p8_plan": p8_plan,
+    "p9_found": p9_found,
+    "p9_mended": p9_mended,
 }
 
 SQL: dict[str, str] = {}
