@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimloom.llm import keyness, knn, leaks, mix, mojibake, neardup, rankfuse, split, splits
+from claimloom.llm import keyness, knn, leaks, mix, mojibake, neardup, oracle, rankfuse, split, splits
 from claimloom.session import read_table
 
 #: The vocabulary that sizes are counted with; any byte-level one in tiktoken's format will do.
@@ -125,4 +125,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p9_mended": p9_mended,
 }
 
-SQL: dict[str, str] = {}
+SQL = oracle.SQL
