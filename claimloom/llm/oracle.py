@@ -55,7 +55,7 @@ SELECT a AS patent_id_a, b AS patent_id_b FROM common JOIN sets x ON x.patent_id
 _PLACES = """
 WITH h AS (
   SELECT run_id, record_id,
-    max(nullif(score, 'nan'::DOUBLE)) AS s, max(nullif(rerank_score, 'nan'::DOUBLE)) AS r,
+    max(CASE WHEN score::VARCHAR NOT LIKE '%nan' THEN score END) AS s, max(CASE WHEN rerank_score::VARCHAR NOT LIKE '%nan' THEN rerank_score END) AS r,
     min(CASE WHEN bm25_rank >= 1 THEN bm25_rank END) AS b, min(CASE WHEN vector_rank >= 1 THEN vector_rank END) AS v
   FROM hits WHERE run_id IS NOT NULL AND record_id IS NOT NULL GROUP BY ALL
 ), p AS (
