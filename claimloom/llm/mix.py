@@ -156,7 +156,10 @@ class Mixture:
         count = F.size(F.filter(F.split("text", r"(?U)\s+"), lambda x: x != "")) if sizes is None else F.lit(0)
         base = records.select(quoted(key).alias("id"), tidy(source).alias("label"), F.coalesce(quoted(text).cast("string"), F.lit("")).alias("text")).withColumn("size", count.cast("long"))
         labelled = base.where(F.col("label").isin(self.names)) if self.names else base.limit(0)
-        sample = labelled.orderBy(F.xxhash64("id", "label"), "id").limit(train_rows).select("text", "label").collect()
+        # a hash below a threshold thins the rows to about the bound before the few of each task are ordered and cut
+        share = min(1.0, 1.5 * train_rows / max(labelled.count(), 1))
+        thinned = labelled.where(F.pmod(F.xxhash64("id", "label"), F.lit(1 << 40)) <= int(share * (1 << 40)))
+        sample = thinned.orderBy(F.xxhash64("id", "label"), "id").limit(train_rows).select("text", "label").collect()
         classifier = spark.sparkContext.broadcast(SourceClassifier([r.text for r in sample], [known[r.label] for r in sample], len(self.names)))
         self.kind = base.schema["id"].dataType.simpleString()
         self.rows = materialise(base.select("id", "label", "text", "size").mapInArrow(lambda it: _measured(it, sizes, classifier.value, known), f"id {self.kind}, label int, size bigint, member array<float>"))
