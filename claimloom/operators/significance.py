@@ -93,4 +93,4 @@ def comparison_table(rows: list, metrics: list[str]) -> str:
 
 def trec_run(run: DataFrame, name: str) -> DataFrame:
     """Lines `query Q0 record rank 1/rank name`, as evaluation tools read them."""
-    return run.select("query_id", "rank", F.format_string("%s Q0 %s %d %.6f %s", "query_id", "record_id", F.col("rank").cast("long"), F.lit(1.0) / F.col("rank"), F.lit(name)).alias("line"))
+    return run.select("query_id", "rank", F.format_string("%s Q0 %s %d %.6f %s", "query_id", "record_id", F.col("rank").cast("long"), F.bround(F.lit(1.0) / F.col("rank"), 6), F.lit(name)).alias("line"))
