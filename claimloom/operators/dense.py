@@ -23,7 +23,7 @@ def dense_search(records: DataFrame, queries: DataFrame, k: int, filters=None, k
     """(query_id, record_id, score, rank): the k most similar records of each query, scores rounded, ties by id.
 
     queries: (query_id, vector). Filters are applied before the search, so k results still come back. Vectors null, of
-    another length, all zero or with NaN can't match. The queries are a stated set, broadcast in blocks of QUERY_BLOCK;
+    another length, all zero or with NaN can't match, on either side. The queries are a stated set, broadcast in blocks of QUERY_BLOCK;
     each batch of records is one matrix product and hands on only its k best of each query.
     """
     if filters is not None:
@@ -55,7 +55,7 @@ def dense_search(records: DataFrame, queries: DataFrame, k: int, filters=None, k
 
         return rows.mapInArrow(run, f"query_id {qkind}, record_id {kind}, score double")
 
-    usable = queries.select("query_id", F.col("vector").cast("array<double>").alias("vector")).where("vector IS NOT NULL AND size(vector) > 0")
+    usable = queries.select("query_id", F.col("vector").cast("array<double>").alias("vector")).where(F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x)) & F.exists("vector", lambda x: x != 0))
     for r in usable.toLocalIterator():
         if block and (len(block) == QUERY_BLOCK or len(block[-1].vector) != len(r.vector)):
             found = search(block)

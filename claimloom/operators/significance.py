@@ -93,4 +93,7 @@ def comparison_table(rows: list, metrics: list[str]) -> str:
 
 def trec_run(run: DataFrame, name: str) -> DataFrame:
     """Lines `query Q0 record rank 1/rank name`, as evaluation tools read them."""
-    return run.select("query_id", "rank", F.format_string("%s Q0 %s %d %.6f %s", "query_id", "record_id", F.col("rank").cast("long"), F.bround(F.lit(1.0) / F.col("rank"), 6), F.lit(name)).alias("line"))
+    score = F.format_string("%.6f", F.lit(1.0) / F.col("rank"))
+    for r in (128 * 5**k for k in range(6)):  # where six digits are a tie the doubles decide, not their decimal form
+        score = F.when(F.col("rank") == r, f"{1 / r:.6f}").otherwise(score)
+    return run.select("query_id", "rank", F.format_string("%s Q0 %s %d %s %s", "query_id", "record_id", F.col("rank").cast("long"), score, F.lit(name)).alias("line"))

@@ -86,7 +86,7 @@ class SearchEngine:
         if method != "bm25" and "vector" not in q.columns:
             q = q.withColumn("vector", self.embed(F.col("text")))
         depth = top_k if method in ("bm25", "dense") else candidates
-        words = lambda: lexical.bm25_search(self.index, self.records, q, depth, filters, synonyms=self.synonyms, stem=self.stem)
+        words = lambda: lexical.bm25_search(self.index, q, depth, filters, synonyms=self.synonyms, stem=self.stem)
         vectors = lambda: dense_search(self.records, q.select("query_id", "vector"), depth, filters)
         if method == "bm25":
             found = words()

@@ -142,17 +142,16 @@ def field_statistics(spark, d):
 
 
 def bm25_topk(spark, d):
-    return lexical.bm25_search(_index(spark, d), _records(spark, d), _eval(spark, d), 10, stem=False)
+    return lexical.bm25_search(_index(spark, d), _eval(spark, d), 10, stem=False)
 
 
 def bm25_filtered(spark, d):
-    return lexical.bm25_search(_index(spark, d), _records(spark, d), _eval(spark, d), 10, Filters(classification_prefix="B60", record_types=["claim"]), stem=False)
+    return lexical.bm25_search(_index(spark, d), _eval(spark, d), 10, Filters(classification_prefix="B60", record_types=["claim"]), stem=False)
 
 
 def bm25_stemmed(spark, d):
     table = analyzer.canonical_synonyms(SYNONYMS)
-    r = _records(spark, d)
-    return lexical.bm25_search(lexical.build_index(r, synonyms=table), r, _eval(spark, d), 10, synonyms=table)
+    return lexical.bm25_search(lexical.build_index(_records(spark, d), synonyms=table), _eval(spark, d), 10, synonyms=table)
 
 
 def _vectors(spark, d) -> DataFrame:
@@ -180,7 +179,7 @@ def dense_table(spark, d):
 
 
 def _hybrid(spark, d, k: int = 20) -> DataFrame:
-    words = lexical.bm25_search(_index(spark, d), _records(spark, d), _eval(spark, d), 50, stem=False)
+    words = lexical.bm25_search(_index(spark, d), _eval(spark, d), 50, stem=False)
     return fusion.fuse(words, dense.dense_search(_dense_records(spark, d), _vectors(spark, d), 50), k)
 
 
