@@ -15,7 +15,7 @@ from claimloom.operators.records import build_records
 
 
 class JobTable:
-    """A job table on shared storage: each version is a new directory, made current by one small pointer write.
+    """A job table on shared storage: each version is a new directory, current once its write has committed.
 
     There is one writer, the stream that owns it; readers always see a whole version.
     """
@@ -23,28 +23,21 @@ class JobTable:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
 
-    def _pointer(self):
-        jvm = self.spark._jvm
-        p = jvm.org.apache.hadoop.fs.Path(self.path + "/_current")
-        return p, p.getFileSystem(self.spark._jsc.hadoopConfiguration())
-
     def version(self) -> str | None:
-        p, fs = self._pointer()
-        if not fs.exists(p):
+        """The latest directory that Spark marked as complete."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path
+        fs = path(self.path).getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not fs.exists(path(self.path)):
             return None
-        return self.spark.read.text(self.path + "/_current").first().value
+        names = sorted((s.getPath().getName() for s in fs.listStatus(path(self.path))), reverse=True)
+        return next((n for n in names if fs.exists(path(f"{self.path}/{n}/_SUCCESS"))), None)
 
     def read(self) -> DataFrame:
         v = self.version()
         return self.spark.read.schema(J.JOB).parquet(f"{self.path}/{v}") if v else self.spark.createDataFrame([], J.JOB)
 
     def write(self, jobs: DataFrame) -> None:
-        v = f"v{time.time_ns()}"
-        jobs.write.parquet(f"{self.path}/{v}")
-        p, fs = self._pointer()
-        out = fs.create(p, True)
-        out.write(bytearray(v.encode()))
-        out.close()
+        jobs.write.parquet(f"{self.path}/v{time.time_ns():020d}")
 
 
 def patents_hash(patents: DataFrame) -> DataFrame:
@@ -95,7 +88,7 @@ def ingest_stream(spark: SparkSession, source: str, schema, table_path: str, rec
 
 def event_counts(events: DataFrame, time_column: str = "ts", window: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """Tumbling counts by event type; rows later than `late` are dropped. Works on streams and on tables."""
-    watermarked = events.withWatermark(time_column, late) if events.isStreaming else events
+    watermarked = events.withColumn(time_column, F.col(time_column).cast("timestamp")).withWatermark(time_column, late) if events.isStreaming else events
     return watermarked.groupBy(F.window(time_column, window).alias("w"), "event_type").agg(F.count("*").alias("events"), F.sum("value").alias("total")).select(F.col("w.start").alias("window_start"), "event_type", "events", "total")
 
 
