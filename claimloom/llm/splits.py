@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 from claimloom.session import materialise, quoted
 
@@ -78,17 +79,26 @@ def grouped_splits(df: DataFrame, record: str, entity: str, shares: dict[str, fl
     total = float(sum(shares.values()))
     if total <= 0 or min(shares.values()) < 0:
         raise ValueError("shares must be at least 0 and not all 0")
-    comp = record_components(df, record, entity)
-    rows = df.drop("component", "split", "_r", "_e").withColumn("_r", tidy(record)).withColumn("_e", tidy(entity))
-    plain = [f.name for f in df.schema.fields if f.name not in ("component", "split", "_r", "_e")]
-    # rows without a record hang on their entity's component, if any record has the entity
-    of_entity = rows.where("_r IS NOT NULL AND _e IS NOT NULL").groupBy("_e").agg(F.min("_r").alias("_by"))
-    rows = rows.join(of_entity, "_e", "left").withColumn("_r", F.coalesce("_r", "_by")).drop("_by")
-    joined = rows.join(comp.select(F.col("record").alias("_r"), "component"), "_r", "left")
-    name = F.coalesce("component", F.concat(F.lit("entity:"), "_e"), F.concat(F.lit("row:"), F.xxhash64(*[quoted(c) for c in plain]).cast("string")))
+    comp = record_components(df, record, entity).select(F.col("record").alias("_cl_r"), F.col("component").alias("_cl_c"))
+    plain = [f.name for f in df.schema.fields if f.name not in ("component", "split", "_cl_r", "_cl_e", "_cl_c")]
+    rows = df.select(*[quoted(c) for c in plain], tidy(record).alias("_cl_r"), tidy(entity).alias("_cl_e"))
+    # rows without a record hang on their entity's component, if any record has the entity; the others need no such join
+    of_entity = rows.where("_cl_r IS NOT NULL AND _cl_e IS NOT NULL").groupBy("_cl_e").agg(F.min("_cl_r").alias("_cl_r"))
+    lone = rows.where("_cl_r IS NULL AND _cl_e IS NOT NULL").drop("_cl_r").join(of_entity, "_cl_e", "left")
+    bare = rows.where("_cl_r IS NULL AND _cl_e IS NULL")
+    placed = rows.where("_cl_r IS NOT NULL").unionByName(lone).join(comp, "_cl_r", "left").unionByName(bare.withColumn("_cl_c", F.lit(None).cast("string")))
+    content = F.xxhash64(*[quoted(c) for c in plain if not isinstance(df.schema[c].dataType, MapType)]).cast("string")
+    name = F.coalesce("_cl_c", F.concat(F.lit("entity:"), "_cl_e"), F.concat(F.lit("row:"), content))
     at = F.pmod(F.xxhash64(name, F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)
     split, edge = None, 0.0
     for label, share in shares.items():
         edge += share / total
         split = F.when(at < edge, label) if split is None else split.when(at < edge, label)
-    return joined.select(*[quoted(c) for c in plain], name.alias("component"), split.otherwise(list(shares)[-1]).alias("split"))
+    return placed.select(*[quoted(c) for c in plain], name.alias("component"), split.otherwise(list(shares)[-1]).alias("split"))
+
+
+def reached_shares(splits: DataFrame) -> DataFrame:
+    """(split, rows, components, share): what the splits came to; a large component moves them off the shares wanted."""
+    per = splits.groupBy("split", "component").agg(F.count("*").alias("n")).groupBy("split").agg(F.sum("n").alias("rows"), F.count("*").alias("components"))
+    total = splits.count()
+    return per.withColumn("share", F.col("rows") / F.lit(float(max(total, 1))))
