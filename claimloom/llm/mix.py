@@ -63,6 +63,8 @@ class SourceClassifier:
         return z / z.sum(axis=1, keepdims=True)
 
     def posteriors(self, texts: list[str]) -> np.ndarray:
+        if not len(self.b):
+            return np.empty((len(texts), 0), np.float32)
         return np.concatenate([self._softmax(_features(texts[i : i + 512])) for i in range(0, len(texts), 512)]) if texts else np.empty((0, len(self.b)), np.float32)
 
 
