@@ -5,7 +5,9 @@ from __future__ import annotations
 import re
 from functools import lru_cache
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
@@ -47,9 +49,13 @@ def analyze(c: Column, synonyms: dict[str, str] | None = None, stem: bool = True
     return stem_all(terms) if stem else terms
 
 
-@F.pandas_udf(ArrayType(StringType()))
-def stem_all(arrays: pd.Series) -> pd.Series:
-    return arrays.map(lambda a: None if a is None else [porter(t) for t in a])
+@F.arrow_udf(ArrayType(StringType()))
+def stem_all(arrays: pa.Array) -> pa.Array:
+    """Stems of the elements; each distinct word of a batch is stemmed once."""
+    words = arrays.flatten().dictionary_encode()
+    stems = pa.array([porter(w) for w in words.dictionary.to_pylist()], pa.string()).take(words.indices)
+    ends = np.cumsum(np.asarray(pc.fill_null(pc.list_value_length(arrays), 0)), dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(np.r_[np.int32(0), ends]), stems, mask=arrays.is_null())
 
 
 _V = "aeiou"

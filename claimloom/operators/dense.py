@@ -23,7 +23,7 @@ def dense_search(records: DataFrame, queries: DataFrame, k: int, filters=None, k
     """(query_id, record_id, score, rank): the k most similar records of each query, scores rounded, ties by id.
 
     queries: (query_id, vector). Filters are applied before the search, so k results still come back. Vectors null, of
-    another length, all zero or with NaN can't match, on either side. The queries are a stated set, broadcast in blocks of QUERY_BLOCK;
+    another length, all zero or with NaN or infinities can't match, on either side. The queries are a stated set, broadcast in blocks of QUERY_BLOCK;
     each batch of records is one matrix product and hands on only its k best of each query.
     """
     if filters is not None:
@@ -31,7 +31,7 @@ def dense_search(records: DataFrame, queries: DataFrame, k: int, filters=None, k
     spark = records.sparkSession
     kind = records.schema[key].dataType.simpleString()
     qkind = queries.schema["query_id"].dataType.simpleString()
-    rows = records.select(F.col(key).alias("record_id"), F.col(vector).cast("array<double>").alias("v")).where(F.col("record_id").isNotNull() & F.col("v").isNotNull() & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x)) & F.exists("v", lambda x: x != 0))
+    rows = records.select(F.col(key).alias("record_id"), F.col(vector).alias("v")).where(F.col("record_id").isNotNull() & F.col("v").isNotNull())
     out, block = None, []
 
     def search(block: list) -> DataFrame:
@@ -45,8 +45,11 @@ def dense_search(records: DataFrame, queries: DataFrame, k: int, filters=None, k
                 fits = np.flatnonzero(np.asarray(vectors.value_lengths()) == qs.shape[1])
                 if not len(fits):
                     continue
-                kept = batch.take(pa.array(fits))
-                x = _unit(np.asarray(kept.column(1).flatten(), float).reshape(len(fits), -1))
+                flat = vectors.take(pa.array(fits)).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(fits), -1)  # nulls become NaN
+                sound = np.isfinite(flat).all(axis=1) & (flat != 0).any(axis=1)
+                kept, x = batch.take(pa.array(fits[sound])), _unit(flat[sound])
+                if not len(x):
+                    continue
                 s = np.round(x @ qs.T, digits)
                 # the k-th best of the batch; ties with it go on too
                 least = np.partition(s, len(s) - k, axis=0)[len(s) - k] if len(s) > k else np.full(len(names), -np.inf)
