@@ -66,7 +66,7 @@ def train(rows: DataFrame, iterations: int = 300, depth: int = 4, step: float =
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import GBTRegressor
 
-    training = rows.where("split = 'train'").withColumn("label", F.col("label").cast("double"))
+    training = rows.where("split = 'train'").select(*FEATURES, F.col("label").cast("double").alias("label"))
     if training.isEmpty():
         raise ValueError("no training rows")
     model = GBTRegressor(maxIter=iterations, maxDepth=depth, stepSize=step, subsamplingRate=subsample, seed=seed, labelCol="label", featuresCol="_features", predictionCol="rerank_score")
@@ -104,7 +104,7 @@ def rerank_with_model(model, hits: DataFrame) -> DataFrame:
     """Hits rescored by the model; the candidate set stays."""
     from claimloom.operators.rerank import rerank
 
-    return rerank(model.transform(features(hits)).drop("_features"), "rerank_score")
+    return rerank(model.transform(features(hits).drop("rerank_score")).drop("_features"), "rerank_score")
 
 
 def label_distribution(rows: DataFrame) -> DataFrame:

@@ -17,7 +17,9 @@ from claimloom.operators.fusion import fuse, group_hits
 from claimloom.operators.rerank import rerank
 
 METHODS = ("bm25", "dense", "hybrid", "hybrid_reranked")
+# Bounds of a request.
 LIMITS = {"query": (1, 8000), "top_k": (1, 100), "candidates": (1, 200)}
+FILTER_LENGTHS = {"classification_prefix": 16, "title_keyword": 200, "abstract_keyword": 200, "exact_title": 400, "exclude_patent": 32}
 PREVIEW, SUPPORTING = 400, 5
 
 
@@ -38,6 +40,15 @@ class StageTimer:
         return {k: round(v, 2) for k, v in self.ms.items()} | {"total": round(sum(self.ms.values()), 2)}
 
 
+def check_request(query: str, filters: Filters | None = None) -> None:
+    """Raises ValueError for a query or a filter text that is too short or too long."""
+    if not LIMITS["query"][0] <= len(query or "") <= LIMITS["query"][1]:
+        raise ValueError(f"the query must have {LIMITS['query'][0]} to {LIMITS['query'][1]} characters")
+    for name, most in FILTER_LENGTHS.items():
+        if len(getattr(filters, name, None) or "") > most:
+            raise ValueError(f"{name} must have at most {most} characters")
+
+
 @dataclass
 class SearchEngine:
     """Search over one record table.

@@ -56,6 +56,12 @@ def read_eval_set(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
     return body.select(F.from_json("value", _QUERY).alias("q")).select("q.*"), json.loads(head[0].value)["_notes"] if head else {}
 
 
+def write_report(report: DataFrame, path: str) -> None:
+    """A report's rows, a few dozen, as one JSON list."""
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump([json.loads(r) for r in report.toJSON().collect()], f, ensure_ascii=False, indent=1)
+
+
 def append_judgements(new: DataFrame, path: str) -> None:
     """Appends (query_id, record_id, grade, seq) to a judgement cache; readers keep the first of each pair."""
     new.write.mode("append").json(path)
