@@ -81,16 +81,17 @@ def _keys(words: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
 
 
 def _edit_distance(x: np.ndarray, y: np.ndarray, most: int) -> np.ndarray:
-    """Edit distances of paired rows of symbols; where they're surely above `most`, most + 1.
+    """Least edit distance of each row of x, a window, and the beginnings of the row of y; where it's surely above `most`, most + 1.
 
-    An alignment with at most `most` edits keeps all but as many symbols at a shift of at most `most`, which is cheaper
-    to count than the distance.
+    y has up to `most` symbols more than x, as its window may have grown by insertions; one that shrank is a shorter
+    beginning. An alignment with at most `most` edits keeps all but as many symbols of x at a shift of at most `most`,
+    which is cheaper to count than the distance.
     """
     n, w = x.shape
-    kept = x == y
-    for s in range(1, most + 1):
-        kept[:, s:] |= x[:, s:] == y[:, :-s]
-        kept[:, :-s] |= x[:, :-s] == y[:, s:]
+    kept = np.zeros((n, w), bool)
+    for s in range(-most, most + 1):
+        lo, hi = max(0, -s), min(w, y.shape[1] - s)
+        kept[:, lo:hi] |= x[:, lo:hi] == y[:, lo + s : hi + s]
     maybe = kept.sum(axis=1) >= w - most
     out = np.full(n, most + 1, np.int16)
     if most == 0:
@@ -100,16 +101,30 @@ def _edit_distance(x: np.ndarray, y: np.ndarray, most: int) -> np.ndarray:
     return out
 
 
-def _full_distance(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+def _inner_distance(x: np.ndarray, y: np.ndarray, most: int) -> np.ndarray:
+    """As _edit_distance, to any consecutive symbols of y, which has `most` more than x on either side."""
     n, w = x.shape
-    before = np.tile(np.arange(w + 1, dtype=np.int16), (n, 1))
+    kept = np.zeros((n, w), bool)
+    for s in range(2 * most + 1):
+        kept |= x == y[:, s : s + w]
+    maybe = np.flatnonzero(kept.sum(axis=1) >= w - most)
+    out = np.full(n, most + 1, np.int16)
+    for i in range(0, len(maybe), 20_000):
+        out[maybe[i : i + 20_000]] = _full_distance(x[maybe[i : i + 20_000]], y[maybe[i : i + 20_000]], inner=True)
+    return out
+
+
+def _full_distance(x: np.ndarray, y: np.ndarray, inner: bool = False) -> np.ndarray:
+    n, w = x.shape
+    v = y.shape[1]
+    before = np.tile(np.arange(v + 1, dtype=np.int16) * (not inner), (n, 1)).astype(np.int16)
     for i in range(w):
         now = np.empty_like(before)
         now[:, 0] = i + 1
-        for j in range(w):
+        for j in range(v):
             now[:, j + 1] = np.minimum(np.minimum(before[:, j + 1], now[:, j]) + 1, before[:, j] + (x[:, i] != y[:, j]))
         before = now
-    return before[:, -1]
+    return before.min(axis=1)
 
 
 class ItemIndex:
@@ -147,53 +162,81 @@ class ItemIndex:
         return both // max(n, 1), both % max(n, 1)
 
 
-def _search(batches: Iterator[pa.RecordBatch], index: ItemIndex, most_edits: int) -> Iterator[pa.RecordBatch]:
+def _search(batches: Iterator[pa.RecordBatch], index: ItemIndex, most_edits: int, long: tuple[int, int] | None = None) -> Iterator[pa.RecordBatch]:
     w = index.width
-    span = np.arange(w)
+    pad = 2 * most_edits  # what a window near the end of a text may look beyond it
     for batch in in_chunks(batches, "text"):
         ids = np.asarray(batch.column(0))
         words, begins = _word_hashes([t or "" for t in batch.column(1).to_pylist()])
-        if len(words) < w or not len(index.at):
+        text = np.repeat(np.arange(len(ids)), np.diff(begins))
+        padded = np.full(len(words) + len(ids) * pad, _PAD)
+        padded[np.arange(len(words)) + text * pad] = words
+        words, begins = padded, begins + np.arange(len(begins)) * pad
+        lengths = np.maximum(np.diff(begins) - pad - (w - most_edits) + 1, 0)  # a window that lost words is shorter
+        if not lengths.any() or not len(index.at):
             continue
-        lengths = np.maximum(np.diff(begins) - w + 1, 0)
         doc = np.repeat(np.arange(len(ids)), lengths)
         at = begins[doc] + np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        got: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        got: list[tuple[np.ndarray, ...]] = []  # text, item, first word of the item's window, its width, edits
         for i in range(0, len(at), CHUNK):
             a, b = index.hits(words, at[i : i + CHUNK])
             for j in range(0, len(a), 200_000):
                 x, y = at[i + a[j : j + 200_000]], b[j : j + 200_000]
-                distance = _edit_distance(words[x[:, None] + span], index.words[index.at[y][:, None] + span], most_edits)
+                distance = _edit_distance(index.words[index.at[y][:, None] + np.arange(w)], words[x[:, None] + np.arange(w + most_edits)], most_edits)
                 near = distance <= most_edits
-                got.append((doc[i + a[j : j + 200_000]][near], y[near], distance[near]))
+                of = doc[i + a[j : j + 200_000]]
+                got.append((of[near], index.item[y][near], index.offset[y][near], np.full(near.sum(), w), distance[near]))
+                if long:
+                    got += _long_hits(words, begins, pad, index, x[~near], y[~near], of[~near], *long)
         if not got:
             continue
-        d, y, distance = (np.concatenate(c) for c in zip(*got))
+        d, item, offset, width, distance = (np.concatenate(c) for c in zip(*got))
         if not len(d):
             continue
-        # per document and item: the least distance and the item's words that lie in some matched window
-        pair = d * np.int64(len(index.ids)) + index.item[y]
-        order = np.argsort(pair, kind="stable")
-        pair, y, distance = pair[order], y[order], distance[order]
+        # per document and item: the narrowest window, its least distance and the item's words that lie in some matched window
+        pair = d * np.int64(len(index.ids)) + item
+        order = np.lexsort((offset, pair))
+        pair, offset, width, distance = pair[order], offset[order], width[order], distance[order]
         firsts = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]])
-        least = np.minimum.reduceat(distance, firsts)
+        least = np.minimum.reduceat(width * np.int64(1 << 16) + distance, firsts)
         rows = []
         for f, e in zip(firsts, np.r_[firsts[1:], len(pair)]):
-            offsets = np.unique(index.offset[y[f:e]])
-            covered = w + np.minimum(np.diff(offsets), w).sum()
-            rows.append(int(covered))
+            ends = np.maximum.accumulate(offset[f:e] + width[f:e])
+            rows.append(int((ends - np.maximum(offset[f:e], np.r_[0, ends[:-1]])).clip(0).sum()))
         who, item = pair[firsts] // len(index.ids), pair[firsts] % len(index.ids)
         columns = [pa.array(ids[who]), pa.array(index.ids[item]), pa.array(least.astype(np.int32)), pa.array(np.array(rows, np.int32)), pa.array(index.sizes[item].astype(np.int32))]
-        yield pa.RecordBatch.from_arrays(columns, names=["doc", "item", "edits", "covered_words", "item_words"])
+        yield pa.RecordBatch.from_arrays(columns, names=["doc", "item", "least", "covered_words", "item_words"])
+
+
+def _long_hits(words: np.ndarray, begins: np.ndarray, pad: int, index: ItemIndex, at: np.ndarray, y: np.ndarray, of: np.ndarray, width: int, most: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """Hits set against each other again with as many words as `width` of the item, from the hit on or up to the item's end."""
+    item = index.item[y]
+    enough = index.sizes[item] >= width
+    at, y, of, item = at[enough], y[enough], of[enough], item[enough]
+    first = np.minimum(index.offset[y], index.sizes[item] - width)
+    back = index.offset[y] - first
+    _, one = np.unique(np.stack([at - back, index.at[y] - back]), axis=1, return_index=True)
+    at, y, of, item, first, back = (c[one] for c in (at, y, of, item, first, back))
+    for i in range(0, len(at), 50_000):
+        part = slice(i, i + 50_000)
+        here = (at - back)[part, None] + np.arange(-most, width + most)
+        inside = (here >= begins[of[part], None]) & (here < begins[of[part] + 1, None] - pad)
+        near_text = np.where(inside, words[np.clip(here, 0, len(words) - 1)], _PAD)
+        distance = _inner_distance(index.words[(index.at[y] - back)[part, None] + np.arange(width)], near_text, most)
+        near = distance <= most
+        yield of[part][near], item[part][near], first[part][near], np.full(near.sum(), width), distance[near]
 
 
-def leaks(documents: DataFrame, doc: str, text: str, items: DataFrame, item: str, passage: str, width: int = 12, most_edits: int = 1) -> DataFrame:
-    """(doc, item, edits, covered_words, item_words): documents with a window of `width` words near one of the item.
+def leaks(documents: DataFrame, doc: str, text: str, items: DataFrame, item: str, passage: str, width: int = 12, most_edits: int = 1, long: tuple[int, int] | None = None) -> DataFrame:
+    """(doc, item, edits, window, covered_words, item_words): documents with words near a window of the item.
 
-    edits is the least word edit distance between two such windows (0: `width` consecutive words in common, and those
-    are all found), at most most_edits; covered_words counts the item's words inside matched windows. Items shorter than
-    a window, and null or empty texts, give no row; null ids are left out; several rows of a document or item id count
-    together. Ids are integers. Extra columns are ignored.
+    A window of `width` words is near consecutive words of the document, of which there may be up to most_edits more or
+    fewer, at a word edit distance of at most most_edits (0: in common, and those are all found). long is another
+    width and most edits, as (40, 8), for hits that aren't near by the first: among stock sentences a few edits in few
+    words say little, and an item with a word in five changed, inserted or dropped shows in a long window only. window
+    is the narrowest width that was near, edits its least distance; covered_words counts the item's words inside matched
+    windows. Items shorter than width, and null or empty texts, give no row; null ids are left out; several rows of a
+    document or item id count together. Ids are integers. Extra columns are ignored.
 
     The items are a stated query set: they are taken in blocks of at most ITEM_BLOCK windows, each broadcast and set
     against one scan of the documents; the documents are not shuffled but for the final grouping of the hits.
@@ -207,7 +250,7 @@ def leaks(documents: DataFrame, doc: str, text: str, items: DataFrame, item: str
     def search() -> None:
         nonlocal out
         index = spark.sparkContext.broadcast(ItemIndex(ids, texts, width))
-        found = base.mapInArrow(lambda it: _search(it, index.value, most_edits), "doc bigint, item bigint, edits int, covered_words int, item_words int")
+        found = base.mapInArrow(lambda it: _search(it, index.value, most_edits, long), "doc bigint, item bigint, least int, covered_words int, item_words int")
         out = found if out is None else out.unionByName(found)
 
     for row in given.toLocalIterator():
@@ -221,5 +264,5 @@ def leaks(documents: DataFrame, doc: str, text: str, items: DataFrame, item: str
             windows += size
     if windows or out is None:
         search()
-    grouped = out.groupBy("doc", "item").agg(F.min("edits").alias("edits"), F.max("covered_words").alias("covered_words"), F.max("item_words").alias("item_words"))
-    return grouped.select(F.col("doc").alias(doc), F.col("item").alias(item), "edits", "covered_words", "item_words")
+    grouped = out.groupBy("doc", "item").agg(F.min("least").alias("least"), F.max("covered_words").alias("covered_words"), F.max("item_words").alias("item_words"))
+    return grouped.select(F.col("doc").alias(doc), F.col("item").alias(item), F.expr("least & 65535").alias("edits"), F.expr("least >> 16").alias("window"), "covered_words", "item_words")

@@ -68,8 +68,8 @@ def p6_splits(spark: SparkSession, d: str) -> DataFrame:
     return splits.grouped_splits(read_table(spark, d, "feature_rows"), "query_id", "patent_id", shares)
 
 
-def _leaks(spark: SparkSession, d: str, most_edits: int) -> DataFrame:
-    return leaks.leaks(read_table(spark, d, "documents"), "doc_id", "text", read_table(spark, d, "eval_passages"), "item_id", "text", most_edits=most_edits)
+def _leaks(spark: SparkSession, d: str, most_edits: int, long: tuple[int, int] | None = None) -> DataFrame:
+    return leaks.leaks(read_table(spark, d, "documents"), "doc_id", "text", read_table(spark, d, "eval_passages"), "item_id", "text", most_edits=most_edits, long=long)
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
@@ -77,7 +77,7 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_leaks(spark: SparkSession, d: str) -> DataFrame:
-    return _leaks(spark, d, 1)
+    return _leaks(spark, d, 1, (40, 8))
 
 
 def _mixture(spark: SparkSession, d: str, sizes=None) -> mix.Mixture:

@@ -95,3 +95,45 @@ def test_edit_distance():
     for most in range(3):
         got = leaks._edit_distance(x, y, most)
         assert (got[full <= most] == full[full <= most]).all() and (got[full > most] > most).all()
+
+
+def edited(words, every, kind, rng):
+    """Every so many words one is changed, dropped or has another inserted before it."""
+    out = []
+    for p, w in enumerate(words):
+        if p % every != every - 1:
+            out.append(w)
+            continue
+        what = kind if kind != "mixed" else rng.choice(["change", "insert", "drop"])
+        out += {"change": [f"n{rng.random()}"[:9].replace(".", "")], "insert": ["neu", w], "drop": []}[what]
+    return out
+
+
+def test_recall_of_inserted_and_dropped_words(spark):
+    rng = random.Random(4)
+    items = [(i, [f"w{rng.randint(0, 5000)}" for _ in range(60)]) for i in range(100)]
+    docs = []
+    for k, kind in enumerate(["change", "insert", "drop", "mixed"]):
+        docs += [(1000 * k + i, " ".join(["davor"] * 5 + edited(t, 5, kind, rng) + ["danach"] * 5)) for i, t in items]
+    got = found(spark, docs, [(i, " ".join(t)) for i, t in items], most_edits=1, long=(40, 8))
+    for k in range(4):
+        assert sum((1000 * k + i, i) in got for i, _ in items) >= 95, k
+    assert all(d % 1000 == i and 1 <= r.edits <= (1 if r.window == 12 else 8) for (d, i), r in got.items())
+
+
+def test_registered_query_finds_edited_items(spark, tmp_path):
+    from claimloom.llm import queries
+
+    rng = random.Random(6)
+    items = [(i, [f"w{rng.randint(0, 5000)}" for _ in range(60)]) for i in range(40)]
+    d, i = frames(spark, [(i, " ".join(edited(t, 6, "insert", rng))) for i, t in items], [(i, " ".join(t)) for i, t in items])
+    d.select("doc_id", "text").write.parquet(f"{tmp_path}/documents.parquet")
+    i.select("item_id", "text").write.parquet(f"{tmp_path}/eval_passages.parquet")
+    assert queries.p7_leaks(spark, str(tmp_path)).count() == 40
+
+
+def test_text_that_ends_early(spark):
+    """A dropped word at the very end of a text, beside texts that could be read into."""
+    words = [f"w{i}" for i in range(12)]
+    docs = [(1, " ".join(words[:4] + words[5:])), (2, "w4 " + " ".join(words[:3])), (3, " ".join(words[6:])), (4, " ".join(words[:6])), (5, " ".join(words[6:]))]
+    assert set(found(spark, docs, [(9, " ".join(words))])) <= {(1, 9)}
