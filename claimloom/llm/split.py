@@ -1,7 +1,7 @@
 """Problem 1: cutting oversized texts at natural boundaries.
 
 Method: structure-tree packing. A text is read as a tree (headings by depth, blank-line blocks, list items by indent,
-lines, sentences, clauses, words); sibling subtrees are merged up to the limit from below and only oversized nodes are
+lines, sentences, clauses, wrapped lines, words); sibling subtrees are merged up to the limit from below and only oversized nodes are
 descended into. A tree is held as the nested partition that its cut positions make, level by level.
 """
 
@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,9 +24,10 @@ _LINE = re.compile(r"[^\n]*\n?")
 _HEADING = re.compile(r"\s*(?:(#{1,6})\s+\S|<h([1-6])\b|(\d+(?:\.\d+)+)\.?\s+[^\W\d_])", re.I)
 _ITEM = re.compile(r"([ \t]*)(?:[-*•‣]|\(?(?:\d{1,3}|[A-Za-z])[.)]|<li\b)\s*\S")
 _SENTENCE = re.compile(f"[.!?…。！？][\"'”’»)\\]]*[{SPACE}]+")
+_SENTENCE_END = re.compile(f"[.!?…。！？][\"'”’»)\\]]*[{SPACE}]*$")
 _CLAUSE = re.compile(f"[;:,–—][{SPACE}]+")
 _ABBREVIATION = re.compile(r"(?:\b(?:figs?|nos?|abb|bzw|ca|cf|e\.g|i\.e|vgl|etc|approx|z\.b|p\.ej)|\b[^\W\d_])\.\s*$", re.I)
-_HEADING_LEVELS, _BLOCK, _ITEM_LEVELS, _LINE_LEVEL, _SENTENCE_LEVEL, _CLAUSE_LEVEL, _WORD_LEVEL = 6, 7, 8, 16, 17, 18, 19
+_HEADING_LEVELS, _BLOCK, _ITEM_LEVELS, _LINE_LEVEL, _SENTENCE_LEVEL, _CLAUSE_LEVEL, _WRAP_LEVEL, _WORD_LEVEL = 6, 7, 8, 16, 17, 18, 19, 20
 
 PIECE = T.StructType([
     T.StructField("piece_no", T.IntegerType()),
@@ -41,7 +42,11 @@ PIECE = T.StructType([
 
 
 def _cuts(text: str, starts: list[int]) -> dict[int, int]:
-    """Position of a possible cut -> its level, the highest (smallest) one where several meet. A cut is always before a word."""
+    """Position of a possible cut -> its level, the highest (smallest) one where several meet. A cut is always before a word.
+
+    A line that begins within a sentence is wrapped text, whose start is worth less than a clause. A line is whole if it
+    follows a heading, a sentence end, or a list item and doesn't go on in lower case.
+    """
     cut: dict[int, int] = {}
 
     def add(position: int, level: int) -> None:
@@ -49,7 +54,7 @@ def _cuts(text: str, starts: list[int]) -> dict[int, int]:
         if 0 < at < len(starts) and cut.get(starts[at], 99) > level:
             cut[starts[at]] = level
 
-    blank = False
+    blank, before = False, ""
     for line in _LINE.finditer(text):
         s = line.group()
         if not s:
@@ -60,12 +65,19 @@ def _cuts(text: str, starts: list[int]) -> dict[int, int]:
         if m := _HEADING.match(s):
             depth = len(m[1]) if m[1] else int(m[2]) if m[2] else m[3].count(".") + 1
             add(line.start(), min(depth, _HEADING_LEVELS))
+            kind = "heading"
         elif s.strip().isupper() and len(s) < 90:
             add(line.start(), _HEADING_LEVELS)
+            kind = "heading"
         elif m := _ITEM.match(s):
             add(line.start(), _BLOCK if blank else _ITEM_LEVELS + min(len(m[1].expandtabs(4)) // 2, 7))
+            kind = "item"
         else:
-            add(line.start(), _BLOCK if blank else _LINE_LEVEL)
+            whole = before in ("heading", "end") or (before == "item" and not s.lstrip()[:1].islower())
+            add(line.start(), _BLOCK if blank else _LINE_LEVEL if whole else _WRAP_LEVEL)
+            kind = ""
+        m = _SENTENCE_END.search(s)
+        before = "end" if m and not kind and not _ABBREVIATION.search(s, max(0, m.start() - 8), m.start() + 1) else kind
         blank = False
     for m in _SENTENCE.finditer(text):
         nxt = text[m.end() : m.end() + 1]
@@ -79,6 +91,9 @@ def _cuts(text: str, starts: list[int]) -> dict[int, int]:
 def split_text(text: str | None, max_words: int = 500, overlap: int = 50) -> list[tuple]:
     """Pieces of at most max_words words; each but the first begins with the last `overlap` words of the one before.
 
+    The overlap is exact where max_words is at least 3 * overlap, as no core but the last is then shorter than it; below
+    that it is at most the core before.
+
     The parts [core_start, end) follow each other without gap or overlap and give back the text; a piece's text is
     [start, end). A text within the limit is one piece; an empty one and null give none. A word is never cut.
     """
@@ -122,6 +137,8 @@ def split_text(text: str | None, max_words: int = 500, overlap: int = 50) -> lis
             cores.append((begin, b))
 
     pack(0, len(starts), 0)
+    if room >= 2 * overlap:
+        cores = _lengthened(cores, overlap, room, lambda i: cut.get(starts[i], _WORD_LEVEL))
     out = []
     for i, (a, b) in enumerate(cores):
         core_start = 0 if i == 0 else starts[a]
@@ -133,6 +150,23 @@ def split_text(text: str | None, max_words: int = 500, overlap: int = 50) -> lis
     return out
 
 
+def _lengthened(cores: list[tuple[int, int]], least: int, room: int, level: Callable[[int], int]) -> list[tuple[int, int]]:
+    """Cores of at least `least` words but the last: a short one is joined with the next, or takes the words up to its best cut."""
+    out: list[tuple[int, int]] = []
+    begin = cores[0][0]
+    for k, (_, end) in enumerate(cores):
+        if k + 1 < len(cores) and end - begin < least:
+            after = cores[k + 1][1]
+            if after - begin > room:
+                edge = max(range(begin + least, min(begin + room, after - least) + 1), key=lambda i: (-level(i), i))
+                out.append((begin, edge))
+                begin = edge
+            continue
+        out.append((begin, end))
+        begin = end
+    return out
+
+
 def _name(level: int) -> str:
     if level <= _HEADING_LEVELS:
         return "heading"
@@ -140,7 +174,7 @@ def _name(level: int) -> str:
         return "block"
     if level < _LINE_LEVEL:
         return "item"
-    return {_LINE_LEVEL: "line", _SENTENCE_LEVEL: "sentence", _CLAUSE_LEVEL: "clause"}.get(level, "word")
+    return {_LINE_LEVEL: "line", _SENTENCE_LEVEL: "sentence", _CLAUSE_LEVEL: "clause", _WRAP_LEVEL: "line"}.get(level, "word")
 
 
 def split_oversized(df: DataFrame, keys: list[str], text: str, max_words: int = 500, overlap: int = 50) -> DataFrame:

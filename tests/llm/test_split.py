@@ -67,3 +67,26 @@ def test_counting_row_only(spark):
     rows = split.oversized_paragraph_pieces(df).collect()
     assert {(r.patent_id, r.paragraph_no, r.paragraph_start) for r in rows} == {("p", 0, 0), ("p", 2, 2)}
     assert len(rows) == 4
+
+
+def test_overlap_after_a_short_core():
+    sentence = lambda n: "Ab " + "w " * (n - 2) + "end. "
+    for sizes in ([25, 655, 61], [460, 20, 455, 300], [655, 3, 655, 3, 655], [400, 40, 700]):
+        pieces = check("".join(map(sentence, sizes)), 500, 50)
+        assert [p[5] for p in pieces[1:]] == [50] * (len(pieces) - 1), sizes
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(2, 60), min_size=1, max_size=20), st.integers(0, 5), st.integers(0, 20))
+def test_overlap_is_exact(sizes, overlap, more):
+    pieces = check(" ".join("Ab " + "w " * (n - 2) + "end." for n in sizes), max(1, 3 * overlap) + more, overlap)
+    assert all(p[5] == overlap for p in pieces[1:])
+
+
+def test_wrapped_text_is_cut_at_sentences():
+    words = ("The tire has a rim and a bead of steel wire. " * 120).split()
+    wrapped = "\n".join(" ".join(words[i : i + 7]) for i in range(0, len(words), 7))
+    assert {p[6] for p in check(wrapped, 100, 10)[:-1]} <= {"sentence", "line"}
+    assert all(p[7].rstrip().endswith(".") for p in check(wrapped, 100, 10))
+    lines = "\n".join("one two three four" for _ in range(100))
+    assert {p[6] for p in check(lines, 50, 0)[:-1]} == {"line"}
