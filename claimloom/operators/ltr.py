@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from claimloom.functions.text import feature_tokens
 from claimloom.operators.fusion import RRF_K
+from claimloom.session import ensure_checkpoint_dir
 
 # The features' names in the order of the stored feature arrays.
 FEATURES = [
@@ -69,6 +70,7 @@ def train(rows: DataFrame, iterations: int = 300, depth: int = 4, step: float =
     training = rows.where("split = 'train'").select(*FEATURES, F.col("label").cast("double").alias("label"))
     if training.isEmpty():
         raise ValueError("no training rows")
+    ensure_checkpoint_dir(rows.sparkSession)  # boosting cuts its lineage every ten trees where there is a folder for it
     model = GBTRegressor(maxIter=iterations, maxDepth=depth, stepSize=step, subsamplingRate=subsample, seed=seed, labelCol="label", featuresCol="_features", predictionCol="rerank_score")
     return Pipeline(stages=[VectorAssembler(inputCols=FEATURES, outputCol="_features"), model]).fit(training)
 

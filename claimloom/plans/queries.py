@@ -322,7 +322,7 @@ def ltr_split(spark, d):
 
 def ltr_rerank(spark, d):
     rows = ltr.split_by_patent(ltr.usable_rows(read_table(spark, d, "feature_rows")))
-    model = ltr.train(rows, iterations=20)
+    model = ltr.train(rows)
     return ltr.rank_by(model.transform(rows.where("split = 'test'")), "rerank_score")
 
 

@@ -142,3 +142,21 @@ def test_features(spark):
     assert a["bm25_rr"] == 1 / 61 and a["bm25_only"] == 1 and a["vec_rr"] == 0 and a["is_claim"] == 1 and a["is_independent"] == 1
     assert a["claim_number_norm"] == pytest.approx(1 / math.log2(3)) and a["term_overlap"] == pytest.approx(2 / 3) and a["title_overlap"] == pytest.approx(1 / 3)
     assert b["claim_number_norm"] == 1.0 and b["term_overlap"] == 0 and b["found_by_both"] == 0
+
+
+def test_registered_reranker_is_fully_trained(spark, sf, monkeypatch):
+    """The query trains with the operator's own number of trees, 300 as in the reference."""
+    import inspect
+
+    from claimloom.plans import queries
+
+    used, real = [], ltr.train
+
+    def few(rows, *args, **kw):
+        used.append(inspect.signature(real).bind(rows, *args, **kw))
+        used[-1].apply_defaults()
+        return real(rows, iterations=2)
+
+    monkeypatch.setattr(ltr, "train", few)
+    assert queries.ltr_rerank(spark, sf).count() > 0
+    assert [u.arguments["iterations"] for u in used] == [300]
