@@ -49,7 +49,7 @@ texts AS (SELECT patent_id, regexp_extract_all(lower(concat_ws(' ', abstract, ar
 sets AS (SELECT patent_id, list_distinct(list_transform(range(1, len(w) - 1), lambda i: hash(w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS s FROM texts WHERE len(w) >= 3),
 each AS (SELECT patent_id, unnest(s) AS g FROM sets),
 common AS (SELECT a.patent_id AS a, b.patent_id AS b, count(*) AS n FROM each a JOIN each b ON a.g = b.g AND a.patent_id < b.patent_id GROUP BY ALL)
-SELECT a AS patent_id_a, b AS patent_id_b FROM common JOIN sets x ON x.patent_id = a JOIN sets y ON y.patent_id = b WHERE n >= 0.7::DOUBLE * greatest(len(x.s), len(y.s)) - 1e-9
+SELECT a AS patent_id_a, b AS patent_id_b FROM common JOIN sets x ON x.patent_id = a JOIN sets y ON y.patent_id = b WHERE n >= 0.7::DOUBLE * (len(x.s) + len(y.s) - n) - 1e-9
 """
 
 _PLACES = """

@@ -33,7 +33,7 @@ def brute(docs, words, threshold):
         if s and key is not None:
             sets[key] = s
     keys = sorted(sets)
-    return {(a, b) for i, a in enumerate(keys) for b in keys[i + 1 :] if len(sets[a] & sets[b]) >= threshold * max(len(sets[a]), len(sets[b])) - 1e-9}
+    return {(a, b) for i, a in enumerate(keys) for b in keys[i + 1 :] if len(sets[a] & sets[b]) >= threshold * len(sets[a] | sets[b]) - 1e-9}
 
 
 def frame(spark, docs):
@@ -42,18 +42,31 @@ def frame(spark, docs):
 
 def test_against_brute_force(spark, monkeypatch):
     docs = corpus()
-    for page in (256, 7):
-        monkeypatch.setattr(neardup, "PAGE", page)
+    for leaf, page, node in ((16, 1024, 32), (2, 7, 2)):
+        for name, value in (("LEAF", leaf), ("PAGE", page), ("NODE", node)):
+            monkeypatch.setattr(neardup, name, value)
         for words, threshold in ((3, 0.7), (5, 0.8), (2, 0.4)):
             got = {tuple(r) for r in neardup.near_duplicate_pairs(frame(spark, docs), "id", "text", words, threshold).collect()}
             assert got == brute(docs, words, threshold)
 
 
-def test_minima():
+def test_planes_bound_the_minima():
     rng = np.random.default_rng(0)
-    for dims in (256, 1024, 4096):
-        x = rng.integers(0, 256, (20, dims), dtype=np.uint8)
-        assert (neardup.minima(x, x[3]) == np.minimum(x, x[3]).sum(axis=1, dtype=np.int64)).all()
+    for n in (40, 700, 3000):
+        sets = [np.unique(rng.integers(0, 1 << 62, n)) for _ in range(6)]
+        sets.append(np.unique(np.r_[sets[0][: n // 2], sets[1][: n // 2]]))
+        ns = np.array([len(s) for s in sets])
+        points = np.stack([neardup.planes(s, neardup.dimensions(n)) for s in sets])
+        for dims in (neardup.dimensions(n), 256, 64):
+            p = neardup.fold(points, dims)
+            counts = np.stack([np.bincount(s & (dims - 1), minlength=dims) for s in sets])
+            assert (neardup.held(p) == np.stack([(counts >= 1).sum(axis=1), (counts >= 2).sum(axis=1)], axis=1)).all()
+            rest = ns - neardup.held(p).sum(axis=1)
+            for i in range(len(sets)):
+                bound = neardup.held(p & p[i]).sum(axis=1) + np.minimum(rest, rest[i])
+                common = np.array([len(np.intersect1d(s, sets[i])) for s in sets])
+                assert (bound >= common).all() and (bound >= np.minimum(counts, counts[i]).sum(axis=1)).all()
+        assert neardup.beyond(ns, points)[0] == (ns - neardup.held(points).sum(axis=1)).max()
 
 
 def test_groups_and_edges(spark):
