@@ -4,6 +4,10 @@ Method: the CGK random walk embeds a window of words so that a small edit distan
 repeated bit-sampling hashing of the embeddings finds windows of documents that are near windows of the items; the edit
 distance of each hit is then computed exactly. A symbol is a word. Equal windows have equal embeddings, so those are
 always found; near ones with the recall that the repetitions give.
+
+Only windows that can be near are embedded: an edit spoils at most GRAM of the runs of GRAM words in a window, so a near
+window keeps a known number of the items' runs (the q-gram lemma), which one pass with a rolling key counts. The screen
+loses nothing.
 """
 
 from __future__ import annotations
@@ -18,15 +22,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimloom.llm.common import in_chunks
-from claimloom.session import quoted
+from claimloom.session import materialise, quoted
 
 WORD = regex.compile(r"[\p{L}\p{Nd}]+")
 WALKS = 2
 TABLES = 4  # of each walk
 SAMPLED = 10  # positions of a table
-ITEM_BLOCK = 200_000  # item windows that are broadcast at a time
+ITEM_BLOCK = 500_000  # item windows that are broadcast at a time
+LEAST_WORDS = 5  # of an item that is searched for
+GRAM = 3  # words of the runs that screen windows
 CHUNK = 150_000  # windows embedded at a time
+WIDTH_OF_EDITS = 8  # a window of fewer words must be equal
+LONG_EDITS = 2  # of a window of the common width that a longer one may be looked for around
 _BITS = 16  # of the table that screens keys
+_GRAM_BITS = 22  # of the table that screens windows
 
 _PAD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -80,6 +89,16 @@ def _keys(words: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
+def _grams(words: np.ndarray) -> np.ndarray:
+    """The table cell of the run of GRAM words that begins at each word."""
+    with np.errstate(over="ignore"):
+        h = words * np.uint64(0x9E3779B97F4A7C15)
+        for i in range(1, GRAM):
+            h[:-i] = (h[:-i] ^ (h[:-i] >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9) + words[i:]
+        h *= np.uint64(0x94D049BB133111EB)
+    return (h >> np.uint64(64 - _GRAM_BITS)).astype(np.int64)
+
+
 def _edit_distance(x: np.ndarray, y: np.ndarray, most: int) -> np.ndarray:
     """Least edit distance of each row of x, a window, and the beginnings of the row of y; where it's surely above `most`, most + 1.
 
@@ -142,10 +161,25 @@ class ItemIndex:
         keys = _keys(self.words, self.at, width) if len(self.at) else np.empty((WALKS * TABLES, 0), np.uint64)
         self.order = np.argsort(keys, axis=1)
         self.keys = np.take_along_axis(keys, self.order, 1)
+        self.grams = np.zeros(1 << _GRAM_BITS, bool)
+        if width >= GRAM and len(self.words):
+            cells = _grams(self.words)
+            inside = np.zeros(len(cells), bool)  # runs that lie in one item
+            for b, e in zip(begins[:-1], begins[1:]):
+                inside[b : max(b, e - GRAM + 1)] = True
+            self.grams[cells[inside]] = True
         self.screen = np.zeros((len(keys), 1 << _BITS), bool)
         for t, k in enumerate(keys):
             self.screen[t, (k & np.uint64((1 << _BITS) - 1)).astype(np.int64)] = True
 
+    def may_be_near(self, marked: np.ndarray, at: np.ndarray, edits: int) -> np.ndarray:
+        """Which windows keep as many runs as one with so many edits must. marked: running count of words where a run of the items begins."""
+        runs = self.width - GRAM + 1
+        least = runs - GRAM * edits
+        if least <= 0:
+            return np.ones(len(at), bool)
+        return marked[np.minimum(at + runs, len(marked) - 1)] - marked[at] >= least
+
     def hits(self, words: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(index into at, item window) of every pair that shares a key."""
         found = []
@@ -162,8 +196,7 @@ class ItemIndex:
         return both // max(n, 1), both % max(n, 1)
 
 
-def _search(batches: Iterator[pa.RecordBatch], index: ItemIndex, most_edits: int, long: tuple[int, int] | None = None) -> Iterator[pa.RecordBatch]:
-    w = index.width
+def _search(batches: Iterator[pa.RecordBatch], indexes: list[ItemIndex], most_edits: int, long: tuple[int, int] | None = None) -> Iterator[pa.RecordBatch]:
     pad = 2 * most_edits  # what a window near the end of a text may look beyond it
     for batch in in_chunks(batches, "text"):
         ids = np.asarray(batch.column(0))
@@ -172,40 +205,52 @@ def _search(batches: Iterator[pa.RecordBatch], index: ItemIndex, most_edits: int
         padded = np.full(len(words) + len(ids) * pad, _PAD)
         padded[np.arange(len(words)) + text * pad] = words
         words, begins = padded, begins + np.arange(len(begins)) * pad
-        lengths = np.maximum(np.diff(begins) - pad - (w - most_edits) + 1, 0)  # a window that lost words is shorter
-        if not lengths.any() or not len(index.at):
-            continue
-        doc = np.repeat(np.arange(len(ids)), lengths)
-        at = begins[doc] + np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        got: list[tuple[np.ndarray, ...]] = []  # text, item, first word of the item's window, its width, edits
-        for i in range(0, len(at), CHUNK):
-            a, b = index.hits(words, at[i : i + CHUNK])
-            for j in range(0, len(a), 200_000):
-                x, y = at[i + a[j : j + 200_000]], b[j : j + 200_000]
-                distance = _edit_distance(index.words[index.at[y][:, None] + np.arange(w)], words[x[:, None] + np.arange(w + most_edits)], most_edits)
-                near = distance <= most_edits
-                of = doc[i + a[j : j + 200_000]]
-                got.append((of[near], index.item[y][near], index.offset[y][near], np.full(near.sum(), w), distance[near]))
-                if long:
-                    got += _long_hits(words, begins, pad, index, x[~near], y[~near], of[~near], *long)
-        if not got:
-            continue
-        d, item, offset, width, distance = (np.concatenate(c) for c in zip(*got))
-        if not len(d):
-            continue
-        # per document and item: the narrowest window, its least distance and the item's words that lie in some matched window
-        pair = d * np.int64(len(index.ids)) + item
-        order = np.lexsort((offset, pair))
-        pair, offset, width, distance = pair[order], offset[order], width[order], distance[order]
-        firsts = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]])
-        least = np.minimum.reduceat(width * np.int64(1 << 16) + distance, firsts)
-        rows = []
-        for f, e in zip(firsts, np.r_[firsts[1:], len(pair)]):
-            ends = np.maximum.accumulate(offset[f:e] + width[f:e])
-            rows.append(int((ends - np.maximum(offset[f:e], np.r_[0, ends[:-1]])).clip(0).sum()))
-        who, item = pair[firsts] // len(index.ids), pair[firsts] % len(index.ids)
-        columns = [pa.array(ids[who]), pa.array(index.ids[item]), pa.array(least.astype(np.int32)), pa.array(np.array(rows, np.int32)), pa.array(index.sizes[item].astype(np.int32))]
-        yield pa.RecordBatch.from_arrays(columns, names=["doc", "item", "least", "covered_words", "item_words"])
+        for index in indexes:
+            if found := _found(words, begins, pad, ids, index, most_edits if index.width >= WIDTH_OF_EDITS else 0, long):
+                yield found
+
+
+def _found(words: np.ndarray, begins: np.ndarray, pad: int, ids: np.ndarray, index: ItemIndex, most_edits: int, long: tuple[int, int] | None) -> pa.RecordBatch | None:
+    w = index.width
+    long = long if long and index.sizes.max(initial=0) >= long[0] else None
+    lengths = np.maximum(np.diff(begins) - pad - (w - most_edits) + 1, 0)  # a window that lost words is shorter
+    if not lengths.any() or not len(index.at):
+        return None
+    doc = np.repeat(np.arange(len(ids)), lengths)
+    at = begins[doc] + np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    marked = np.concatenate([[0], np.cumsum(index.grams[_grams(words)])]) if len(words) >= GRAM else np.zeros(len(words) + 1, np.int64)
+    near = index.may_be_near(marked, at, max(most_edits, LONG_EDITS) if long else most_edits)
+    doc, at = doc[near], at[near]
+    got: list[tuple[np.ndarray, ...]] = []  # text, item, first word of the item's window, its width, edits
+    for i in range(0, len(at), CHUNK):
+        a, b = index.hits(words, at[i : i + CHUNK])
+        for j in range(0, len(a), 200_000):
+            x, y = at[i + a[j : j + 200_000]], b[j : j + 200_000]
+            reach = np.minimum(x[:, None] + np.arange(w + most_edits), len(words) - 1)
+            distance = _edit_distance(index.words[index.at[y][:, None] + np.arange(w)], words[reach], most_edits)
+            near = distance <= most_edits
+            of = doc[i + a[j : j + 200_000]]
+            got.append((of[near], index.item[y][near], index.offset[y][near], np.full(near.sum(), w), distance[near]))
+            if long:
+                got += _long_hits(words, begins, pad, index, x[~near], y[~near], of[~near], *long)
+    if not got:
+        return None
+    d, item, offset, width, distance = (np.concatenate(c) for c in zip(*got))
+    if not len(d):
+        return None
+    # per document and item: the narrowest window, its least distance and the item's words that lie in some matched window
+    pair = d * np.int64(len(index.ids)) + item
+    order = np.lexsort((offset, pair))
+    pair, offset, width, distance = pair[order], offset[order], width[order], distance[order]
+    firsts = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]])
+    least = np.minimum.reduceat(width * np.int64(1 << 16) + distance, firsts)
+    rows = []
+    for f, e in zip(firsts, np.r_[firsts[1:], len(pair)]):
+        ends = np.maximum.accumulate(offset[f:e] + width[f:e])
+        rows.append(int((ends - np.maximum(offset[f:e], np.r_[0, ends[:-1]])).clip(0).sum()))
+    who, item = pair[firsts] // len(index.ids), pair[firsts] % len(index.ids)
+    columns = [pa.array(ids[who]), pa.array(index.ids[item]), pa.array(least.astype(np.int32)), pa.array(np.array(rows, np.int32)), pa.array(index.sizes[item].astype(np.int32))]
+    return pa.RecordBatch.from_arrays(columns, names=["doc", "item", "least", "covered_words", "item_words"])
 
 
 def _long_hits(words: np.ndarray, begins: np.ndarray, pad: int, index: ItemIndex, at: np.ndarray, y: np.ndarray, of: np.ndarray, width: int, most: int) -> Iterator[tuple[np.ndarray, ...]]:
@@ -230,39 +275,50 @@ def _long_hits(words: np.ndarray, begins: np.ndarray, pad: int, index: ItemIndex
 def leaks(documents: DataFrame, doc: str, text: str, items: DataFrame, item: str, passage: str, width: int = 12, most_edits: int = 1, long: tuple[int, int] | None = None) -> DataFrame:
     """(doc, item, edits, window, covered_words, item_words): documents with words near a window of the item.
 
-    A window of `width` words is near consecutive words of the document, of which there may be up to most_edits more or
-    fewer, at a word edit distance of at most most_edits (0: in common, and those are all found). long is another
-    width and most edits, as (40, 8), for hits that aren't near by the first: among stock sentences a few edits in few
-    words say little, and an item with a word in five changed, inserted or dropped shows in a long window only. window
-    is the narrowest width that was near, edits its least distance; covered_words counts the item's words inside matched
-    windows. Items shorter than width, and null or empty texts, give no row; null ids are left out; several rows of a
-    document or item id count together. Ids are integers. Extra columns are ignored.
-
-    The items are a stated query set: they are taken in blocks of at most ITEM_BLOCK windows, each broadcast and set
-    against one scan of the documents; the documents are not shuffled but for the final grouping of the hits.
+    A window of `width` words, or of all words of an item that has fewer, is near consecutive words of the document, of
+    which there may be up to most_edits more or fewer, at a word edit distance of at most most_edits (0: in common, and
+    those are all found; a window under WIDTH_OF_EDITS words must be in common). long is another width and most edits,
+    as (40, 8), for hits that aren't near by the first: among stock sentences a few edits in few words say little, and
+    an item with a word in five changed, inserted or dropped shows in a long window only. window is the narrowest width
+    that was near, edits its least distance; covered_words counts the item's words inside matched windows. Items of
+    fewer than LEAST_WORDS words, and null or empty texts, give no row; null ids are left out; several rows of a document
+    or item id count together. Ids are integers. Extra columns are ignored.
+
+    The items are a stated query set. Up to ITEM_BLOCK windows are broadcast and set against one scan of the documents;
+    more are taken block by block, each block's hits being written before the next is made. The documents are not
+    shuffled but for the final grouping of the hits.
     """
     spark = documents.sparkSession
     base = documents.select(quoted(doc).cast("long").alias("doc"), quoted(text).cast("string").alias("text")).where("doc IS NOT NULL AND text IS NOT NULL")
     given = items.select(quoted(item).cast("long").alias("i"), quoted(passage).cast("string").alias("t")).where("i IS NOT NULL AND t IS NOT NULL").distinct()
-    out: DataFrame | None = None
-    ids, texts, windows = [], [], 0
+    blocks: list[DataFrame] = []
 
-    def search() -> None:
-        nonlocal out
-        index = spark.sparkContext.broadcast(ItemIndex(ids, texts, width))
+    def search(held: dict[int, tuple[list[int], list[str]]], last: bool) -> None:
+        index = spark.sparkContext.broadcast([ItemIndex(*held[w], w) for w in sorted(held)])
         found = base.mapInArrow(lambda it: _search(it, index.value, most_edits, long), "doc bigint, item bigint, least int, covered_words int, item_words int")
-        out = found if out is None else out.unionByName(found)
+        if not last or blocks:
+            found = materialise(found)
+            index.unpersist()
+        blocks.append(found)
 
+    held: dict[int, tuple[list[int], list[str]]] = {}
+    windows = 0
     for row in given.toLocalIterator():
-        size = max(0, len(WORD.findall(row.t.lower())) - width + 1)
-        if windows and windows + size > ITEM_BLOCK:
-            search()
-            ids, texts, windows = [], [], 0
-        if size:
-            ids.append(row.i)
-            texts.append(row.t)
-            windows += size
-    if windows or out is None:
-        search()
+        words = len(WORD.findall(row.t.lower()))
+        if words < LEAST_WORDS:
+            continue
+        w = min(width, words)
+        if windows and windows + words - w + 1 > ITEM_BLOCK:
+            search(held, last=False)
+            held, windows = {}, 0
+        ids, texts = held.setdefault(w, ([], []))
+        ids.append(row.i)
+        texts.append(row.t)
+        windows += words - w + 1
+    if windows or not blocks:
+        search(held, last=True)
+    out = blocks[0]
+    for more in blocks[1:]:
+        out = out.unionByName(more)
     grouped = out.groupBy("doc", "item").agg(F.min("least").alias("least"), F.max("covered_words").alias("covered_words"), F.max("item_words").alias("item_words"))
     return grouped.select(F.col("doc").alias(doc), F.col("item").alias(item), F.expr("least & 65535").alias("edits"), F.expr("least >> 16").alias("window"), "covered_words", "item_words")

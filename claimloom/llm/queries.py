@@ -73,7 +73,7 @@ def _leaks(spark: SparkSession, d: str, most_edits: int, long: tuple[int, int] |
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    return _leaks(spark, d, 0).select("doc_id", "item_id")
+    return _leaks(spark, d, 1).where("edits = 0 AND window = 12").select("doc_id", "item_id")
 
 
 def p7_leaks(spark: SparkSession, d: str) -> DataFrame:

@@ -7,8 +7,17 @@ DOC, ITEM = "doc_id long, text string, item_id string, doc int", "item_id long,
 
 
 def brute(docs, items, width=12):
-    grams = lambda t: {tuple(w[i : i + width]) for w in [re.findall(r"[^\W_]+", (t or "").lower())] for i in range(len(w) - width + 1)}
-    return {(d, i) for d, t in docs for i, s in items if d is not None and i is not None and grams(t) & grams(s)}
+    """Equal windows: of 12 words, or of the whole of an item that has 5 to 11."""
+    words = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
+    grams = lambda w, n: {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}
+    out = set()
+    for i, s in items:
+        own = words(s)
+        if i is None or len(own) < 5:
+            continue
+        n = min(width, len(own))
+        out |= {(d, i) for d, t in docs if d is not None and grams(words(t), n) & grams(own, n)}
+    return out
 
 
 def frames(spark, docs, items):
@@ -70,6 +79,55 @@ def test_recall_of_edited_windows(spark):
     assert sum((i, i) in got for i, _ in items) >= 0.9 * len(items) and all(r.edits == 1 for r in got.values())
 
 
+def test_the_screen_loses_nothing(spark, monkeypatch):
+    rng = random.Random(12)
+    items = [(i, [f"w{rng.randint(0, 300)}" for _ in range(30)]) for i in range(60)]
+    docs = []
+    for d in range(200):
+        _, t = rng.choice(items)
+        at = rng.randint(0, 18)
+        part = t[at : at + 12]
+        for _ in range(rng.randint(0, 2)):
+            p = rng.randrange(len(part))
+            part[p : p + rng.randint(0, 1)] = rng.choice([[], ["neu"]])
+        docs.append((d, " ".join([f"w{rng.randint(0, 300)}" for _ in range(10)] + part + [f"w{rng.randint(0, 300)}" for _ in range(rng.randint(0, 9))])))
+    given = [(i, " ".join(t)) for i, t in items]
+    for long in (None, (24, 3)):
+        screened = found(spark, docs, given, long=long)
+        with monkeypatch.context() as m:
+            m.setattr(leaks.ItemIndex, "may_be_near", lambda self, marked, at, edits: at == at)
+            whole = found(spark, docs, given, long=long)
+        near = {k for k, r in whole.items() if r.window == 12}
+        assert len(near) > 100 and near <= set(screened) and len(screened) >= 0.97 * len(whole)
+
+
+def test_planted_edits_in_the_given_items(spark):
+    """Items of the given tables with one to three words changed, inserted or dropped, put into given documents."""
+    import pathlib
+
+    import pytest
+
+    d = pathlib.Path("/root/testdata/sf0.001")
+    if not d.exists():
+        pytest.skip("no tables")
+    rng = random.Random(9)
+    items = [(r.item_id, r.text.split()) for r in spark.read.parquet(f"{d}/eval_passages.parquet").collect()]
+    hosts = [r.text or "" for r in spark.read.parquet(f"{d}/documents.parquet").select("text").collect()]
+    docs = []
+    for k, (i, t) in enumerate(items):
+        for edits in (1, 2, 3):
+            n = rng.randint(24, len(t)) if len(t) > 24 else len(t)
+            at = rng.randint(0, len(t) - n)
+            part = list(t[at : at + n])
+            for _ in range(edits):
+                p = rng.randrange(len(part))
+                part[p : p + rng.randint(0, 1)] = rng.choice([["ersatz"], ["ersatz"], []])
+            docs.append((10 * i + edits, f"{hosts[k % len(hosts)]} {' '.join(part)} {hosts[(k + 7) % len(hosts)]}"))
+    got = found(spark, docs, [(i, " ".join(t)) for i, t in items], most_edits=1, long=(40, 8))
+    for edits in (1, 2, 3):
+        assert sum((10 * i + edits, i) in got for i, _ in items) >= 0.9 * len(items), edits
+
+
 def test_coverage(spark):
     item = " ".join(f"w{i}" for i in range(40))
     r = found(spark, [(1, f"before {item} after"), (2, " ".join(f"w{i}" for i in range(10, 25)))], [(7, item)])
