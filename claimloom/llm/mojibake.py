@@ -31,6 +31,10 @@ GAIN_UTF8, GAIN_OTHER = 1.5, 5.0
 #: A pair is improbable where its cubic mutual information is below minus this.
 IMPROBABLE = 17.0
 REPLACEMENT = "�"
+#: Islands of at most so many characters are tried in all their parts, longer ones in their runs of whole sequences.
+SHORT_ISLAND = 12
+#: Longer islands are judged anew each time, which keeps the caches small.
+CACHED = 200
 
 
 def _codes(texts: list[str]) -> np.ndarray:
@@ -139,12 +143,12 @@ class Repairer:
         for wrong, right in SINGLE_BYTE:
             both = [(bytes([b]).decode(wrong, "ignore"), bytes([b]).decode(right, "ignore")) for b in range(0x80, 0x100)]
             self.table[wrong, right] = {x: y for x, y in both if x and y and x != y and y.isprintable()}
-        self.utf8: dict[str, list[tuple[str, str]]] = {}
+        self.utf8: dict[tuple[str, int], list[tuple[str, str]]] = {}
         self.tried: dict[tuple, object] = {}
 
-    def _utf8(self, island: str) -> list[tuple[str, str]]:
+    def _utf8(self, island: str, undone: int = 0) -> list[tuple[str, str]]:
         """(encoding, original) of an island of non-ASCII characters as UTF-8 read with an encoding, up to three times."""
-        known = self.utf8.get(island)
+        known = self.utf8.get((island, undone))
         if known is None:
             known = []
             for wrong in UTF8_READ_AS:
@@ -158,13 +162,38 @@ class Repairer:
                 if text != island:
                     if _plausible(text):
                         known.append((wrong, text))
-                    if 1 < len(text) < len(island) < 200:
-                        known += [(f"{wrong}+{w}", t) for w, t in self._utf8(text)]
+                    if 1 < len(text) < len(island) and undone < 2:
+                        known += [(f"{wrong}+{w}", t) for w, t in self._utf8(text, undone + 1)]
             if len(self.utf8) > 50_000:
                 self.utf8.clear()
-            self.utf8[island] = known
+            if len(island) <= CACHED:
+                self.utf8[island, undone] = known
         return known
 
+    def _runs(self, island: str) -> Iterator[tuple[int, int]]:
+        """Maximal runs of the island that are whole UTF-8 sequences in some encoding, found in one pass for each encoding."""
+        n = len(island)
+        for wrong in UTF8_READ_AS:
+            coded = [_fallback_bytes(ch, wrong) for ch in island]
+            i = 0
+            while i < n:
+                end, due = i, 0
+                for j in range(i, n):
+                    for byte in coded[j] or b"\0":
+                        if due:
+                            due = due - 1 if 0x80 <= byte < 0xC0 else -1
+                        else:
+                            due = 1 if 0xC2 <= byte < 0xE0 else 2 if 0xE0 <= byte < 0xF0 else 3 if 0xF0 <= byte < 0xF5 else -1
+                        if due < 0:
+                            break
+                    if due < 0:
+                        break
+                    if not due:
+                        end = j + 1
+                if end > i + 1:
+                    yield i, end
+                i = max(end, i + 1)
+
     def repair(self, text: str) -> tuple[str, list[str], int]:
         """(repaired text, encodings undone, characters that came out wrong)."""
         c = _codes([text])
@@ -210,17 +239,32 @@ class Repairer:
     def _gain(self, before: str, old: str, after: str, new: str) -> float:
         return self.model.log_probability(before + new + after) - self.model.log_probability(before + old + after, own=True)
 
-    def _utf8_best(self, before: str, old: str, after: str) -> tuple[int, int, str, str, float] | None:
-        """The part of an island that is most surely UTF-8 read wrongly: all of it or, where another character joins it, the longest part."""
-        n, best = len(old), None
-        parts = [(0, n)] if n > 12 or n < 2 else sorted(((a, b) for a in range(n) for b in range(a + 2, n + 1)), key=lambda x: x[0] - x[1])
+    def _utf8_best(self, before: str, old: str, after: str) -> list[tuple[int, int, str, str, float]]:
+        """The parts of an island that are most surely UTF-8 read wrongly.
+
+        Of a short one that is the whole or, where another character joins it, the longest part; of a long one its
+        maximal runs of whole sequences, the surest first.
+        """
+        n = len(old)
+        short = n <= SHORT_ISLAND
+        if short:
+            parts = sorted(((a, b) for a in range(n) for b in range(a + 2, n + 1)), key=lambda x: x[0] - x[1]) if n > 1 else [(0, n)]
+        else:
+            parts = sorted({(0, n), *self._runs(old)}, key=lambda x: x[0] - x[1])
+        found: list[tuple[int, int, str, str, float]] = []
         for a, b in parts:
             for wrong, original in self._utf8(old[a:b]):
                 gain = self._gain(old[a - 1] if a else before, old[a:b], old[b] if b < n else after, original)
-                if gain >= GAIN_UTF8 and (best is None or gain > best[4]):
-                    best = (a, b, wrong, original, gain)
-            if best and best[:2] == (0, n):
+                if gain >= GAIN_UTF8:
+                    found.append((a, b, wrong, original, gain))
+            if found and (a, b) == (0, n):
                 break
+        best: list[tuple[int, int, str, str, float]] = []
+        for option in sorted(found, key=lambda x: -x[4]):  # sorting is stable: of equal gains the longer part
+            if not any(option[0] < b and a < option[1] for a, b, *_ in best):
+                best.append(option)
+                if short:
+                    break
         return best
 
     def _single_options(self, before: str, old: str, after: str) -> list[tuple[tuple[str, str], str, float]]:
@@ -234,17 +278,19 @@ class Repairer:
     def _tried(self, kind: int, text: str, i: int, j: int):
         """What the mappings make of an island between its neighbours; the same ones come again and again."""
         key = (kind, text[max(0, i - 1) : i] or "\n", text[i:j], text[j : j + 1] or "\n")
-        if key not in self.tried:
+        known = self.tried.get(key)
+        if known is None:
+            known = (self._single_options if kind else self._utf8_best)(*key[1:])
             if len(self.tried) > 200_000:
                 self.tried.clear()
-            self.tried[key] = (self._single_options if kind else self._utf8_best)(*key[1:])
-        return self.tried[key]
+            if j - i <= CACHED:
+                self.tried[key] = known
+        return known
 
     def _utf8_islands(self, text: str, lo: int, hi: int) -> list[tuple[int, int, str, str, float]]:
         found = []
         for i, j in self._islands(text, lo, hi):
-            if best := self._tried(0, text, i, j):
-                found.append((i + best[0], i + best[1], *best[2:]))
+            found += [(i + a, i + b, *rest) for a, b, *rest in self._tried(0, text, i, j)]
         return found
 
     def _single_bytes(self, text: str, runs: list[tuple[int, int]], taken: set[tuple[int, int]]) -> list[tuple[int, int, str, str, float]]:

@@ -56,3 +56,33 @@ def test_maximal_segments():
 
     assert m.maximal_segments(np.array([-1.0, 4, -1, 3, -9, 2, -1, -1, 2])) == [(1, 4), (5, 6), (8, 9)]
     assert m.maximal_segments(np.array([-1.0, -2])) == []
+
+
+RUSSIAN = "Вращающееся колесо удерживается подшипником и поворачивается вокруг неподвижной оси."
+
+
+def repairer(texts):
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+    counts = next(m._pair_counts(iter([batch])))
+    return m.Repairer(m.PairModel(counts.column(0).to_numpy(), counts.column(1).to_numpy()))
+
+
+@pytest.mark.parametrize("letters", [4, 10, 20, 60])
+def test_long_islands_beside_a_sound_character(letters):
+    """Whatever the length of a garbled run, a sound character that joins it doesn't hide it."""
+    r = repairer([RUSSIAN, GERMAN, FRENCH, "ü"] * 200)
+    word = "".join(RUSSIAN.split())[:letters]
+    bad = f"Die ü{read_as(word, 'utf-8', 'cp1252')} Rolle"
+    new, undone, wrong = r.repair(bad)
+    assert new == f"Die ü{word} Rolle" and undone == ["cp1252"] and wrong == 2 * letters
+
+
+@pytest.mark.parametrize("letters", [30, 180, 1000])
+def test_long_islands_garbled_twice(letters):
+    r = repairer([RUSSIAN, GERMAN, FRENCH] * 200)
+    word = ("".join(RUSSIAN.split()) * 20)[:letters].replace(".", "")
+    twice = read_as(read_as(word, "utf-8", "cp1252"), "utf-8", "cp1252")
+    new, undone, _ = r.repair(f"Das ist {twice} hier")
+    assert new == f"Das ist {word} hier" and undone == ["cp1252+cp1252"]
