@@ -12,7 +12,7 @@ from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -114,23 +114,28 @@ def split_text(text: str | None, max_words: int = 500, overlap: int = 50) -> lis
 
     cores: list[tuple[int, int]] = []  # in words
 
+    def limit(begin: int) -> int:
+        return room if begin else max_words  # the first piece repeats nothing
+
     def pack(a: int, b: int, level: int) -> None:
-        if b - a <= room:
+        if b - a <= limit(a):
             cores.append((a, b))
             return
         if level == len(levels):
-            cores.extend((i, min(i + room, b)) for i in range(a, b, room))
+            while a < b:
+                cores.append((a, min(a + limit(a), b)))
+                a = cores[-1][1]
             return
         own = levels[level]
         edges = [a, *own[bisect_left(own, a + 1) : bisect_left(own, b)], b]
         begin = a
         for x, y in zip(edges, edges[1:]):
-            if y - x > room:  # oversized child: close what was merged, descend
+            if y - x > limit(x):  # oversized child: close what was merged, descend
                 if begin < x:
                     cores.append((begin, x))
                 pack(x, y, level + 1)
-                begin = y
-            elif y - begin > room:
+                begin = cores.pop()[0]  # what is left of it at its end may be merged with the next sibling
+            elif y - begin > limit(begin):
                 cores.append((begin, x))
                 begin = x
         if begin < b:
@@ -209,18 +214,22 @@ def oversized_paragraph_pieces(patents: DataFrame, max_words: int = 500, overlap
     """Pieces of the paragraphs with more than max_words words, in the counting row of each patent.
 
     paragraph_no is the position in the stored array; paragraph_start and paragraph_end count the non-blank paragraphs.
-    Oversized paragraphs are found before anything is shuffled: the texts of the others never leave their task.
+    Oversized paragraphs are found before anything is shuffled: the texts of the others never leave their task. Of
+    deliveries of one time that differ, the one whose paragraphs have the least hash counts.
     """
     counts = F.size(F.filter(F.split("paragraph", r"(?U)\s+"), lambda w: w != ""))
     long = (
         patents.select("patent_id", "ingested_at", F.col("description_paragraphs").alias("_all"), F.posexplode("description_paragraphs").alias("paragraph_no", "paragraph"))
         .where((F.length("paragraph") > 2 * max_words) & (counts > max_words))
         .withColumn("paragraph_start", F.size(F.filter(F.slice("_all", F.lit(1), F.col("paragraph_no")), lambda p: p.rlike(r"(?U)[^\s\p{Cf}]"))))
+        .withColumn("_content", F.xxhash64("_all"))
         .drop("_all")
     )
     latest = counting_rows(patents)
     counted = (
         long.join(latest, (F.col("patent_id") == F.col("_key")) & F.col("ingested_at").eqNullSafe(F.col("_at")))
+        .withColumn("_first", F.min("_content").over(Window.partitionBy("patent_id")))
+        .where(F.col("_content") == F.col("_first"))
         .dropDuplicates(["patent_id", "paragraph_no"])
         .withColumn("paragraph_end", F.col("paragraph_start"))
     )
