@@ -12,8 +12,6 @@ from pyspark.sql.types import MapType
 
 from claimloom.session import materialise, quoted
 
-ROUNDS = 60  # the number of rounds grows with the logarithm of the longest chain; this is never reached in practice
-
 
 def tidy(column: str):
     """An id without blanks around it, in lower case; null where nothing is left."""
@@ -38,11 +36,14 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
-    """(node, component) of every node with an edge; the component is its least node. edges: (u, v), same type."""
+    """(node, component) of every node with an edge; the component is its least node. edges: (u, v), same type.
+
+    Rounds go on until the stars have settled; their number grows with the logarithm of the longest chain.
+    """
     now = edges.select("u", "v").where(F.col("u").isNotNull() & F.col("v").isNotNull() & (F.col("u") != F.col("v")))
     now = materialise(now.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     mark = None
-    for _ in range(ROUNDS):
+    while True:
         now = materialise(_star(_star(now, True), False))
         # equal count and hash sum: the same set of edges, so the stars have settled
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
