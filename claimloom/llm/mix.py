@@ -1,8 +1,8 @@
 """Problem 8: mixing sources to target weights.
 
-Method: soft-membership mixing. A classifier trained on labelled rows predicts the posteriors of the sources (domains)
-for the records that carry no label; distributed projected-gradient least squares then fits a nonnegative rate for each
-record, at most its cap, so that the expected token totals of the domains match their targets.
+Method: soft-membership mixing. A classifier trained on labelled rows predicts the posteriors of the sources (domains) of
+every record, with its label, where it has one, as the prior; distributed projected-gradient least squares then fits a
+nonnegative rate for each record, at most its cap, so that the expected token totals of the domains match their targets.
 """
 
 from __future__ import annotations
@@ -22,8 +22,14 @@ from claimloom.session import materialise, quoted
 TRAIN_ROWS = 6_000
 FEATURES = 1 << 11
 STEPS = 60
-ROUNDS = 25
-TOLERANCE = 1e-4
+#: The share of labels taken to be right before a text is read: a label yields only to a classifier that is very sure.
+LABEL_PRIOR = 0.999
+#: Domains kept of a record's posteriors, the likeliest ones.
+MOST_DOMAINS = 16
+#: The fit ends when twice no domain's total moved by more than this share of its size; the report says if it didn't get
+#: there in so many rounds.
+TOLERANCE, MOST_ROUNDS = 5e-4, 500
+HELD_OUT = 10  # one in so many rows of the sample tests the classifier
 _WORD = regex.compile(r"[\p{L}\p{Nd}]+")
 MOST_SOURCES = 10_000
 
@@ -34,11 +40,17 @@ def tidy(column: str):
     return F.when(c != "", c)
 
 
+_columns: dict[str, int] = {}
+
+
 def _features(texts: list[str]) -> np.ndarray:
     out = np.zeros((len(texts), FEATURES), np.float32)
+    if len(_columns) > 500_000:
+        _columns.clear()
     for i, t in enumerate(texts):
-        for w in _WORD.findall(t.lower()):
-            out[i, zlib.crc32(w.encode()) % FEATURES] += 1
+        at = [_columns[w] if w in _columns else _columns.setdefault(w, zlib.crc32(w.encode()) % FEATURES) for w in _WORD.findall(t.lower())]
+        if at:
+            out[i] = np.bincount(at, minlength=FEATURES)
     out = np.log1p(out)
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
 
@@ -87,63 +99,113 @@ def tokenizer_sizes(path: str) -> Callable[[list[str]], list[int]]:
     return sizes
 
 
-def _measured(batches: Iterator[pa.RecordBatch], sizes: Callable[[list[str]], list[int]] | None, classifier, known: dict[str, int]) -> Iterator[pa.RecordBatch]:
-    """Size and membership of each record: the label's domain, or the posteriors of all domains where it has none."""
+def membership(posterior: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The likeliest domains of each record and their probabilities. label: its domain, below 0 where it has none."""
+    p = posterior.astype(np.float64)
+    domains = p.shape[1]
+    known = np.flatnonzero(label >= 0)
+    if len(known) and domains > 1:
+        prior = np.full((len(known), domains), (1 - LABEL_PRIOR) / (domains - 1))
+        prior[np.arange(len(known)), label[known]] = LABEL_PRIOR
+        p[known] = np.maximum(p[known], 1e-12) * prior
+    kept = min(MOST_DOMAINS, domains)
+    at = np.argpartition(-p, kept - 1, axis=1)[:, :kept] if kept < domains else np.tile(np.arange(domains), (len(p), 1))
+    p = np.take_along_axis(p, at, 1)
+    return at.astype(np.int32), (p / np.maximum(p.sum(axis=1, keepdims=True), 1e-300)).astype(np.float32)
+
+
+_MEASURED = "label int, size bigint, cap int, coin double, at array<int>, p array<float>"
+
+
+def _measured(batches: Iterator[pa.RecordBatch], sizes: Callable[[list[str]], list[int]] | None, classifier, known: dict[str, int], caps: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Size, membership and cap of each record. Records of sources that aren't listed are left out.
+
+    The cap of a labelled record is its source's, that of another its likeliest domain's.
+    """
     for batch in batches:
-        for at in range(0, len(batch), 1000):
-            part = batch.slice(at, 1000)
+        names = batch.column(1).to_pylist()
+        mine = [i for i, x in enumerate(names) if x is None or x in known]
+        for begin in range(0, len(mine), 1000):
+            rows = mine[begin : begin + 1000]
+            part = batch.take(pa.array(rows))
             texts = [t or "" for t in part.column(2).to_pylist()]
+            label = np.array([known.get(names[i], -1) for i in rows])
+            at, p = membership(classifier.posteriors(texts), label)
+            cap = caps[np.where(label >= 0, label, at[np.arange(len(at)), p.argmax(axis=1)])]
             n = sizes(texts) if sizes else part.column(3).to_pylist()
-            labels = part.column(1).to_pylist()
-            soft = [i for i, x in enumerate(labels) if x is None]
-            p = classifier.posteriors([texts[i] for i in soft]) if soft else []
-            member = [None] * len(texts)
-            for i, row in zip(soft, p):
-                member[i] = row.astype(np.float32).tolist()
-            label_no = [known.get(x, -1) if x is not None else None for x in labels]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(label_no, pa.int32()), pa.array(n, pa.int64()), pa.array(member, pa.list_(pa.float32()))], names=["id", "label", "size", "member"])
+            lists = lambda x, t: pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel(), t))
+            columns = [part.column(0), pa.array([x if x >= 0 else None for x in label.tolist()], pa.int32()), pa.array(n, pa.int64()), pa.array(cap.astype(np.int32)), part.column(4), lists(at, pa.int32()), lists(p, pa.float32())]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "label", "size", "cap", "coin", "at", "p"])
 
 
-def _rates(label: np.ndarray | None, member: np.ndarray | None, caps: np.ndarray, history: list[np.ndarray]) -> np.ndarray:
-    """Rates after the steps so far, replayed from the residuals: nothing is kept for a record between passes.
+class _Rows:
+    """The records of a batch as arrays."""
 
-    Labelled records of a domain share a rate, so caller passes each label once.
-    """
-    p = np.eye(len(caps), dtype=np.float64)[label] if member is None else member.astype(np.float64)
-    cap = p @ caps if member is not None else caps[label]
-    r = np.minimum(1.0, cap)
-    for residual in history:
-        r = np.clip(r - p @ residual, 0.0, cap)
-    return r
+    def __init__(self, batch: pa.RecordBatch):
+        self.label = np.asarray(batch.column(1).fill_null(-1))
+        self.size, self.cap, self.coin = (np.asarray(batch.column(i)) for i in (2, 3, 4))
+        self.at, self.p = (np.asarray(batch.column(i).flatten()).reshape(len(batch), -1) for i in (5, 6))
 
+    def rates(self, history: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Rates after the steps so far, and the point the next step starts from, which carries on the last move (momentum).
 
-def _soft_rows(batch: pa.RecordBatch, domains: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    label = batch.column(1)
-    soft = np.flatnonzero(np.asarray(label.is_null()))
-    member = np.asarray(batch.column(3).take(pa.array(soft)).flatten(), np.float32).reshape(-1, domains)
-    return soft, member, np.asarray(batch.column(2))
+        They are replayed from the steps' residuals: nothing is kept for a record between passes.
+        """
+        rate = start = np.minimum(1.0, self.cap)
+        for step, residual in enumerate(history):
+            before, rate = rate, np.clip(start - (self.p * residual[self.at]).sum(axis=1), 0.0, self.cap)
+            start = rate + step / (step + 3) * (rate - before)
+        return rate, start
 
+    def copies(self, history: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Rates, and how often each record is taken: the rate rounded up or down by the record's coin."""
+        r, _ = self.rates(history)
+        return r, np.floor(r) + (self.coin < r - np.floor(r))
 
-def _expected(batches: Iterator[pa.RecordBatch], caps: np.ndarray, history: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """Expected totals of the domains under the rates so far: one row of a number for each domain and task."""
-    total = np.zeros(len(caps))
+    def totals(self, amount: np.ndarray, domains: int) -> np.ndarray:
+        """Expected totals of the domains when so much of each record is taken."""
+        return np.bincount(self.at.ravel(), (self.p * amount[:, None]).ravel(), domains)
+
+    def labelled(self, amount: np.ndarray, domains: int) -> np.ndarray:
+        known = self.label >= 0
+        return np.bincount(self.label[known], amount[known], domains)
+
+
+_EXPECTED, _AHEAD, _TAKEN, _REACH, _SIZE, _DOCUMENTS, _PLANNED = range(7)
+
+
+def _pass(batches: Iterator[pa.RecordBatch], domains: int, history: list[np.ndarray], planned: bool = False) -> Iterator[pa.RecordBatch]:
+    """Totals of the domains under the rates so far: a few numbers for each domain and task."""
+    out = np.zeros((7, domains))
     for batch in batches:
-        soft, member, size = _soft_rows(batch, len(caps))
-        if len(soft):
-            total += member.T.astype(np.float64) @ (_rates(None, member, caps, history) * size[soft])
-    yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(caps), dtype=np.int32)), pa.array(total)], names=["domain", "total"])
+        if not len(batch):
+            continue
+        x = _Rows(batch)
+        r, start = x.rates(history)
+        if planned:
+            taken = x.copies(history)[1] * x.size
+            out[_PLANNED] += x.labelled(taken, domains) + x.totals(np.where(x.label < 0, taken, 0.0), domains)
+        out[_EXPECTED] += x.totals(r * x.size, domains)
+        out[_AHEAD] += x.totals(start * x.size, domains)
+        out[_TAKEN] += x.labelled(r * x.size, domains)
+        out[_REACH] += x.labelled(x.cap.astype(float) * x.size, domains)
+        out[_SIZE] += x.labelled(x.size.astype(float), domains)
+        out[_DOCUMENTS] += x.labelled(np.ones(len(batch)), domains)
+    kind, domain = np.indices(out.shape)
+    yield pa.RecordBatch.from_arrays([pa.array(kind.ravel().astype(np.int32)), pa.array(domain.ravel().astype(np.int32)), pa.array(out.ravel())], names=["kind", "domain", "total"])
 
 
 class Mixture:
     """A fitted mix; report and plan are its two results."""
 
-    def __init__(self, records: DataFrame, source: str, text: str, key: str, weights: DataFrame, w_source: str = "source", weight: str = "weight", repeats: str = "max_repeats", sizes: Callable[[list[str]], list[int]] | None = None, train_rows: int = TRAIN_ROWS):
+    def __init__(self, records: DataFrame, source: str, text: str, key: str, weights: DataFrame, w_source: str = "source", weight: str = "weight", repeats: str = "max_repeats", sizes: Callable[[list[str]], list[int]] | None = None, train_rows: int = TRAIN_ROWS, seed: int = 5):
         """sizes: texts to sizes; None: maximal runs of characters that aren't Unicode white space.
 
         Sources are trimmed and lower-cased. Listed sources with a null, NaN or negative weight have weight 0, those with
         null or negative max_repeats 1; a source listed twice keeps its largest weight. Records of sources that aren't
-        listed are left out of the mix (rate 0), records without a source belong to the listed ones by posterior; null
-        and empty texts have size 0. At most MOST_SOURCES sources are taken, as their names are broadcast.
+        listed are left out of the mix, records without a source belong to the listed ones by posterior; null and empty
+        texts have size 0. The classifier is fitted on at most train_rows labelled rows, drawn by a hash of their key.
+        Sources are a list of names that is broadcast, so there can be at most MOST_SOURCES.
         """
         spark = records.sparkSession
         w = F.coalesce(F.when(~F.isnan(quoted(weight).cast("double")) & (quoted(weight).cast("double") >= 0), quoted(weight).cast("double")), F.lit(0.0))
@@ -153,90 +215,109 @@ class Mixture:
             raise ValueError(f"more than {MOST_SOURCES} sources have weights")
         self.names = [x.s for x in listed]
         self.weights = np.array([x.w for x in listed], float)
-        self.caps = np.array([x.m for x in listed], float)
+        self.caps = caps = np.array([x.m for x in listed], float)
+        self.key_type = records.select(quoted(key)).dtypes[0][1]
         known = {s: i for i, s in enumerate(self.names)}
         count = F.size(F.filter(F.split("text", r"(?U)\s+"), lambda x: x != "")) if sizes is None else F.lit(0)
-        base = records.select(quoted(key).alias("id"), tidy(source).alias("label"), F.coalesce(quoted(text).cast("string"), F.lit("")).alias("text")).withColumn("size", count.cast("long"))
+        coin = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+        base = records.select(quoted(key).alias("id"), tidy(source).alias("label"), F.coalesce(quoted(text).cast("string"), F.lit("")).alias("text")).select("*", count.cast("long").alias("words"), coin.alias("coin"))
         labelled = base.where(F.col("label").isin(self.names)) if self.names else base.limit(0)
         # a hash below a threshold thins the rows to about the bound before the few of each task are ordered and cut
         share = min(1.0, 1.5 * train_rows / max(labelled.count(), 1))
         thinned = labelled.where(F.pmod(F.xxhash64("id", "label"), F.lit(1 << 40)) <= int(share * (1 << 40)))
         sample = thinned.orderBy(F.xxhash64("id", "label"), "id").limit(train_rows).select("text", "label").collect()
-        classifier = spark.sparkContext.broadcast(SourceClassifier([r.text for r in sample], [known[r.label] for r in sample], len(self.names)))
-        self.kind = base.schema["id"].dataType.simpleString()
-        self.rows = materialise(base.select("id", "label", "text", "size").mapInArrow(lambda it: _measured(it, sizes, classifier.value, known), f"id {self.kind}, label int, size bigint, member array<float>"))
-        self.sizes = np.zeros(len(self.names))
-        self.documents = np.zeros(len(self.names), int)
-        for r in self.rows.where("label >= 0").groupBy("label").agg(F.sum("size").alias("n"), F.count("*").alias("d")).collect():
-            self.sizes[r.label], self.documents[r.label] = r.n, r.d
-        all_weight = self.weights.sum()
-        self.total = self.sizes.sum()
-        self.targets = self.total * self.weights / all_weight if all_weight > 0 else np.zeros(len(self.names))
+        texts, labels = [r.text for r in sample], [known[r.label] for r in sample]
+        self.accuracy = held_out_accuracy(texts, labels, len(self.names))
+        classifier = spark.sparkContext.broadcast(SourceClassifier(texts, labels, len(self.names)))
+        schema = f"id {self.key_type}, {_MEASURED}"
+        if self.names:
+            self.rows = materialise(base.mapInArrow(lambda it: _measured(it, sizes, classifier.value, known, caps), schema))
+        else:
+            self.rows = spark.createDataFrame([], schema)
         self._fit()
 
     def _fit(self) -> None:
-        """Projected gradient steps, each scaled by the domains' sizes: the least-squares operator then has norm 1 at most."""
-        soft = self.rows.where("label IS NULL AND size > 0")
-        caps, self.history, eye = self.caps, [], np.arange(len(self.names))
-        there = len(self.names) > 0
-        scale = None
-        for _ in range(ROUNDS if there else 0):
-            history = self.history
-            expected = np.zeros(len(caps))
-            for r in soft.mapInArrow(lambda it: _expected(it, caps, history), "domain int, total double").groupBy("domain").agg(F.sum("total").alias("t")).collect():
-                expected[r.domain] = r.t
-            if scale is None:  # at the first pass the rates are 1 or the caps: the soft sizes
-                scale = np.maximum(self.sizes + expected, 1.0)
-            hard = _rates(eye, None, caps, history) * self.sizes
-            self.expected, self.hard = hard + expected, hard
-            residual = (self.expected - self.targets) / scale
-            step = self._moves(residual)
-            if step < TOLERANCE:
-                break
-            self.history = [*history, residual]
-        if not there:
-            self.expected = self.hard = np.zeros(0)
-
-    def _moves(self, residual: np.ndarray) -> float:
-        """How far a step would still move the labelled records' rates."""
-        eye = np.arange(len(self.caps))
-        now, then = _rates(eye, None, self.caps, self.history), _rates(eye, None, self.caps, [*self.history, residual])
-        return float(np.abs((now - then)[self.sizes > 0]).max(initial=0.0))
+        """Projected gradient steps with momentum, each scaled by the domains' sizes: the least-squares operator then has norm 1 at most.
+
+        history holds the residuals of the steps taken, expected and taken the totals under the rates they lead to.
+        """
+        domains = len(self.names)
+        self.history: list[np.ndarray] = []
+        self.moved = 0.0
+        scale = before = None
+        settled = 0
+        while True:
+            got = self._totals()
+            self.expected, self.taken, self.reach, self.sizes, self.documents = (got[k] for k in (_EXPECTED, _TAKEN, _REACH, _SIZE, _DOCUMENTS))
+            if scale is None:  # at the first pass the rates are 1 or the caps below
+                scale = np.maximum(np.maximum(self.sizes, self.expected), 1.0)
+                all_weight = self.weights.sum()
+                self.total = self.sizes.sum()
+                self.targets = self.total * self.weights / all_weight if all_weight > 0 else np.zeros(domains)
+            else:
+                self.moved = float((np.abs(self.expected - before) / scale).max(initial=0.0))
+                settled = settled + 1 if self.moved < TOLERANCE else 0
+            self.converged = not domains or settled == 2
+            if self.converged or len(self.history) == MOST_ROUNDS:
+                return
+            before = self.expected
+            self.history = [*self.history, (got[_AHEAD] - self.targets) / scale]
+
+    def _totals(self, planned: bool = False) -> np.ndarray:
+        domains, history = len(self.names), self.history
+        out = np.zeros((7, domains))
+        if domains:
+            totals = self.rows.mapInArrow(lambda it: _pass(it, domains, history, planned), "kind int, domain int, total double")
+            for r in totals.groupBy("kind", "domain").agg(F.sum("total").alias("s")).collect():  # 7 a domain
+                out[r.kind, r.domain] = r.s
+        return out
 
     def report(self) -> DataFrame:
-        """A row for each listed source: weights, sizes, what the mix reaches, and whether the source alone can reach it.
+        """A row for each listed source: what it has, what it should have, and what the mix reaches.
 
-        short: its labelled records, each as often as allowed, are less than its target.
+        size and documents count the source's labelled records; rate is what the fit takes of them in the mean.
+        expected_size and reached_share are the fit's totals of the domain, by membership; planned_size and planned_share
+        those of the copies that plan hands out, a labelled record counting for its source. short: its labelled records,
+        each at its cap in the fit, fall short of the target. rounds, moved (the last step's largest change of a domain's
+        total, as a share of its size) and converged tell how far the fit got, accuracy that of the classifier on sample rows it didn't see.
         """
-        rates = _rates(np.arange(len(self.names)), None, self.caps, self.history) if self.names else np.zeros(0)
-        every, all_weight = max(self.expected.sum(), 1e-300), max(self.weights.sum(), 1e-300)
+        planned = self._totals(planned=True)[_PLANNED]
+        every, handed, all_weight = max(self.expected.sum(), 1e-300), max(planned.sum(), 1e-300), max(self.weights.sum(), 1e-300)
         rows = [
-            (s, int(self.documents[i]), int(self.sizes[i]), int(self.caps[i]), float(self.weights[i] / all_weight), float(self.targets[i]), float(rates[i]), float(self.expected[i]), float(self.expected[i] / every), bool(self.sizes[i] * self.caps[i] < self.total * self.weights[i] / all_weight))
+            (
+                s, int(self.documents[i]), int(self.sizes[i]), int(self.caps[i]), float(self.weights[i] / all_weight), float(self.targets[i]), float(self.taken[i] / max(self.sizes[i], 1.0)),
+                float(self.expected[i]), float(self.expected[i] / every), float(planned[i]), float(planned[i] / handed), bool(self.reach[i] < self.total * self.weights[i] / all_weight),
+                len(self.history), float(self.moved), bool(self.converged), self.accuracy,
+            )
             for i, s in enumerate(self.names)
-        ]
-        return self.rows.sparkSession.createDataFrame(rows, "source string, documents bigint, size bigint, max_repeats int, target_share double, target_size double, rate double, expected_size double, reached_share double, short boolean")
+        ]
+        schema = "source string, documents bigint, size bigint, max_repeats int, target_share double, target_size double, rate double, expected_size double, reached_share double, planned_size double, planned_share double, short boolean, rounds int, moved double, converged boolean, accuracy double"
+        return self.rows.sparkSession.createDataFrame(rows, schema)
 
-    def plan(self, key: str, seed: int = 5) -> DataFrame:
+    def plan(self, key: str) -> DataFrame:
         """(key, source, size, rate, copies): how often each record of the mix is taken. source is null for soft members.
 
-        copies is the rate, rounded up or down by a hash of the key so that its mean is the rate.
+        copies is the rate, rounded up or down by a hash of the key so that its mean is the rate; it is never above the cap.
         """
-        caps, history, names = self.caps, self.history, self.names
-        fixed = _rates(np.arange(len(names)), None, caps, history) if names else np.zeros(0)
+        history, names = self.history, self.names
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                soft, member, size = _soft_rows(batch, len(caps))
-                label = np.asarray(batch.column(1).fill_null(-1))
-                rate = np.where(label >= 0, fixed[np.maximum(label, 0)], 0.0)
-                if len(soft):
-                    rate[soft] = _rates(None, member, caps, history)
-                source = [names[i] if i >= 0 else None for i in label]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(source, pa.string()), pa.array(size), pa.array(rate)], names=["id", "source", "size", "rate"])
-
-        if not names:
-            return self.rows.select(F.col("id").alias(key), F.lit(None).cast("string").alias("source"), "size", F.lit(0.0).alias("rate"), F.lit(0).alias("copies")).limit(0)
-        rated = self.rows.where("label IS NULL OR label >= 0").mapInArrow(run, f"id {self.kind}, source string, size bigint, rate double")
-        coin = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-        copies = (F.floor("rate") + F.when(coin < F.col("rate") - F.floor("rate"), 1).otherwise(0)).cast("int")
-        return rated.select(F.col("id").alias(key), "source", "size", "rate", copies.alias("copies")).where("copies > 0")
+                if len(batch):
+                    x = _Rows(batch)
+                    rate, copies = x.copies(history)
+                    source = pa.array([names[i] if i >= 0 else None for i in x.label.tolist()], pa.string())
+                    out = pa.RecordBatch.from_arrays([batch.column(0), source, batch.column(2), pa.array(rate), pa.array(copies.astype(np.int32))], names=["id", "source", "size", "rate", "copies"])
+                    yield out.filter(pa.array(copies > 0))
+
+        return self.rows.mapInArrow(run, f"id {self.key_type}, source string, size bigint, rate double, copies int").withColumnRenamed("id", key)
+
+
+def held_out_accuracy(texts: list[str], labels: list[int], classes: int) -> float | None:
+    """The share of every HELD_OUT-th row whose label a classifier fitted on the others finds; None for too few rows."""
+    held = list(range(0, len(texts), HELD_OUT))
+    if len(texts) < 5 * HELD_OUT:
+        return None
+    rest = [i for i in range(len(texts)) if i % HELD_OUT]
+    c = SourceClassifier([texts[i] for i in rest], [labels[i] for i in rest], classes)
+    return float(np.mean(c.posteriors([texts[i] for i in held]).argmax(axis=1) == [labels[i] for i in held]))

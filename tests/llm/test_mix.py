@@ -28,12 +28,14 @@ def test_targets_and_caps(spark):
         target = total * w / 11
         assert r[s].target_size == pytest.approx(target) and r[s].short == (size[s] * cap < target)
         assert r[s].expected_size == pytest.approx(min(target, cap * size[s]), rel=1e-3)
-    assert r["none"].short and not r["zero"].short and r["zero"].expected_size == 0
+    assert r["none"].short and not r["zero"].short and r["zero"].expected_size < 1e-3 and r["zero"].planned_size == 0
     assert sum(x.reached_share for x in r.values()) == pytest.approx(1)
     plan = m.plan("doc_id")
     got = {x.source: x.n for x in plan.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("n")).collect()}
     assert got["a"] == pytest.approx(r["a"].expected_size, rel=0.25) and got["c"] == size["c"]
     assert plan.where("source = 'b' AND copies > 3 OR source = 'a' AND copies > 1").count() == 0
+    assert {s: n for s, n in got.items()} == {s: r[s].planned_size for s in "abc"}
+    assert all(x.converged and x.moved < mix.TOLERANCE for x in r.values())
 
 
 def test_unlabelled_documents_count_by_posterior(spark):
@@ -70,3 +72,22 @@ def test_tokenizer_sizes():
     path = "/opt/tokenizers/byte_bpe_50k.tiktoken"
     sizes = mix.tokenizer_sizes(path)
     assert sizes(["", "hello world", "<|endoftext|>"])[:2] == [0, 2]
+
+
+def test_a_fit_that_is_cut_off_says_so(spark, monkeypatch):
+    monkeypatch.setattr(mix, "MOST_ROUNDS", 1)
+    m = mixture(spark, documents(), [("a", 1.0, 1), ("b", 2.0, 3), ("c", 7.0, None)])
+    r = m.report().collect()
+    assert not any(x.converged for x in r) and {x.rounds for x in r} == {1} and min(x.moved for x in r) > mix.TOLERANCE
+    got = {x.source: x.n for x in m.plan("doc_id").groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("n")).collect()}
+    assert {x.source: x.planned_size for x in r} == pytest.approx(got)  # report and plan describe the same mix
+
+
+def test_a_label_is_a_prior():
+    sure = np.array([[0.98, 0.02], [1e-7, 1 - 1e-7], [0.3, 0.7]], np.float32)
+    at, p = mix.membership(sure, np.array([0, 0, -1]))
+    own = [{int(d): float(x) for d, x in zip(a, b)} for a, b in zip(at, p)]
+    assert own[0][0] > 0.999 and own[1][1] > 0.99 and own[2][1] == pytest.approx(0.7)
+    many = np.full((1, 40), 1 / 40, np.float32)
+    at, p = mix.membership(many, np.array([7]))
+    assert at.shape == (1, mix.MOST_DOMAINS) and p.sum() == pytest.approx(1) and p[0][list(at[0]).index(7)] > 0.99
