@@ -21,6 +21,8 @@ _TERM = regex.compile(r"\p{L}+")
 FLUSH = 200_000
 #: Terms with more than this share of all tokens are broadcast; there can't be more than its inverse of them.
 HEAVY_SHARE = 1 / 20_000
+#: Hashes of repeated rows that are broadcast; more are joined.
+MOST_BROADCAST = 1_000_000
 
 
 def _count(batches: Iterator[pa.RecordBatch], min_letters: int, min_count: int, most_groups: int) -> Iterator[pa.RecordBatch]:
@@ -78,6 +80,18 @@ def _count(batches: Iterator[pa.RecordBatch], min_letters: int, min_count: int,
         yield flush()
 
 
+def unrepeated(rows: DataFrame) -> DataFrame:
+    """The distinct rows. Only those whose hash occurs more than once are shuffled with their texts."""
+    hashed = rows.withColumn("_h", F.xxhash64(*rows.columns))
+    again = materialise(hashed.groupBy("_h").agg(F.count("*").alias("_n")).where("_n > 1").select("_h"))
+    number = again.count()
+    if not number:
+        return rows
+    again = F.broadcast(again) if number <= MOST_BROADCAST else again
+    once = hashed.join(again, "_h", "left_anti").drop("_h")
+    return once.unionByName(hashed.join(again, "_h", "left_semi").drop("_h").distinct())
+
+
 def distinctive_terms(df: DataFrame, key: str, group: str, texts: list[str], min_letters: int = 3, min_count: int = 1, most_groups: int = 3, prior: float = 1000.0) -> DataFrame:
     """(key, term, n, collection_n, groups, z): every term of every record with how characteristic it is of the record.
 
@@ -90,7 +104,7 @@ def distinctive_terms(df: DataFrame, key: str, group: str, texts: list[str], min
     texts of null keys count in the collection. Extra columns are ignored.
     """
     joined = F.concat_ws(" ", *[quoted(t).cast("string") for t in texts])
-    base = df.select(quoted(key).cast("string").alias("id"), quoted(group).cast("string").alias("group"), joined.alias("text")).distinct()
+    base = unrepeated(df.select(quoted(key).cast("string").alias("id"), quoted(group).cast("string").alias("group"), joined.alias("text")))
     schema = "kind tinyint, id string, group string, tokens bigint, term string, n bigint, groups array<string>"
     counted = materialise(base.mapInArrow(lambda it: _count(it, min_letters, min_count, most_groups), schema))
 

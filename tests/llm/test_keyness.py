@@ -53,3 +53,13 @@ def test_common_terms_count_little(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert keyness.distinctive_terms(df, "record_id", "patent_id", ["title", "text"]).count() == 0
+
+
+def test_repeated_rows_are_dropped_however_many(spark, monkeypatch):
+    rows = [("a", "g", "x y"), ("a", "g", "x y"), ("a", None, "x y"), (None, "g", "x"), (None, "g", "x"), ("b", "g", None), ("b", "g", None), ("c", "h", "z")]
+    df = spark.createDataFrame(rows, "id string, group string, text string")
+    for most in (1_000_000, 0):
+        monkeypatch.setattr(keyness, "MOST_BROADCAST", most)
+        got = sorted(map(tuple, keyness.unrepeated(df).collect()), key=repr)
+        assert got == sorted(set(rows), key=repr)
+    assert keyness.unrepeated(df.limit(0)).count() == 0
