@@ -13,6 +13,13 @@ paragraphs AS (SELECT patent_id, unnest(description_paragraphs) AS p, unnest(ran
 SELECT patent_id, paragraph_no::INT AS paragraph_no FROM paragraphs WHERE len(regexp_extract_all(p, '[^\t\n\x0b\f\r\x{{85}}\p{{Z}}]+')) > 500
 """
 
+SQL["p1_rebuilt"] = rf"""
+WITH counting AS ({_COUNTING}),
+paragraphs AS (SELECT patent_id, unnest(description_paragraphs) AS p, unnest(range(len(description_paragraphs))) AS paragraph_no FROM counting WHERE patent_id IS NOT NULL)
+SELECT patent_id, paragraph_no::INT AS paragraph_no, md5(p) AS digest, len(regexp_extract_all(p, '[^\t\n\x0b\f\r\x{{85}}\p{{Z}}]+')) AS words, true AS fits, true AS overlaps
+FROM paragraphs WHERE len(regexp_extract_all(p, '[^\t\n\x0b\f\r\x{{85}}\p{{Z}}]+')) > 500
+"""
+
 SQL["p2_found"] = """
 WITH r AS (
   SELECT DISTINCT record_id, embedding::DOUBLE[] AS e FROM search_records
@@ -43,15 +50,30 @@ SELECT record_id, term, n, collection_n, groups,
 FROM v
 """
 
-SQL["p4_found"] = rf"""
-WITH counting AS ({_COUNTING}),
+_SETS = rf"""
+WITH RECURSIVE counting AS ({_COUNTING}),
 texts AS (SELECT patent_id, regexp_extract_all(lower(concat_ws(' ', abstract, array_to_string(list_filter(claims_raw, lambda x: x IS NOT NULL), ' '), array_to_string(list_filter(description_paragraphs, lambda x: x IS NOT NULL), ' '))), '{WORD}') AS w FROM counting WHERE patent_id IS NOT NULL),
+"""
+
+SQL["p4_found"] = _SETS + """
 sets AS (SELECT patent_id, list_distinct(list_transform(range(1, len(w) - 1), lambda i: hash(w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS s FROM texts WHERE len(w) >= 3),
 each AS (SELECT patent_id, unnest(s) AS g FROM sets),
 common AS (SELECT a.patent_id AS a, b.patent_id AS b, count(*) AS n FROM each a JOIN each b ON a.g = b.g AND a.patent_id < b.patent_id GROUP BY ALL)
 SELECT a AS patent_id_a, b AS patent_id_b FROM common JOIN sets x ON x.patent_id = a JOIN sets y ON y.patent_id = b WHERE n >= 0.7::DOUBLE * (len(x.s) + len(y.s) - n) - 1e-9
 """
 
+SQL["p4_groups"] = _SETS + """
+sets AS (SELECT patent_id, list_sort(list_distinct(list_transform(range(1, len(w) - 3), lambda i: hash(array_to_string(w[i:i + 4], ' '))))) AS s FROM texts WHERE len(w) >= 5),
+classes AS (SELECT s, min(patent_id) AS c FROM sets GROUP BY s),
+each AS (SELECT c, unnest(s) AS g FROM classes),
+common AS (SELECT a.c AS a, b.c AS b, count(*) AS n FROM each a JOIN each b ON a.g = b.g AND a.c <> b.c GROUP BY ALL),
+linked AS (SELECT a, b FROM common JOIN classes x ON x.c = a JOIN classes y ON y.c = b WHERE n >= 0.8::DOUBLE * (len(x.s) + len(y.s) - n) - 1e-9),
+reach(a, b) AS (SELECT c, c FROM classes UNION SELECT r.a, l.b FROM reach r JOIN linked l ON r.b = l.a),
+named AS (SELECT a, min(b) AS least FROM reach GROUP BY a),
+degrees AS (SELECT a, count(*) AS links FROM linked GROUP BY a)
+SELECT sets.patent_id, least AS "group", coalesce(links, 0) AS links FROM sets JOIN classes ON classes.s = sets.s JOIN named ON named.a = c LEFT JOIN degrees ON degrees.a = c
+"""
+
 _PLACES = """
 WITH h AS (
   SELECT run_id, record_id,
@@ -81,6 +103,15 @@ reach(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM reach r JOIN e ON
 SELECT a AS query_id, min(b) AS group_id FROM reach GROUP BY a HAVING count(*) > 1
 """
 
+SQL["p6_together"] = """
+WITH RECURSIVE f AS (SELECT lower(trim(query_id)) AS q, nullif(lower(trim(patent_id)), '') AS p FROM feature_rows WHERE lower(trim(query_id)) <> ''),
+d AS (SELECT DISTINCT q, p FROM f),
+e AS (SELECT DISTINCT a.q AS a, b.q AS b FROM d a JOIN d b ON a.p = b.p),
+reach(a, b) AS (SELECT q, q FROM d UNION SELECT r.a, e.b FROM reach r JOIN e ON r.b = e.a),
+named AS (SELECT a, min(b) AS component FROM reach GROUP BY a)
+SELECT component, count(*) AS rows, true AS together FROM f JOIN named ON q = a GROUP BY component
+"""
+
 SQL["p7_found"] = rf"""
 WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '{WORD}') AS w FROM documents),
 i AS (SELECT item_id, regexp_extract_all(lower(text), '{WORD}') AS w FROM eval_passages),
@@ -96,3 +127,11 @@ j AS (SELECT l.source, w, m, coalesce(n, 0) AS n FROM listed l LEFT JOIN sizes s
 t AS (SELECT sum(n) AS total, sum(w) AS weight FROM j)
 SELECT j.source FROM j, t WHERE n * m < t.total * j.w / t.weight
 """
+
+SQL["p8_sources"] = r"""
+WITH sizes AS (SELECT lower(trim(source)) AS source, count(*) AS documents, sum(len(regexp_extract_all(coalesce(text, ''), '[^\t\n\x0b\f\r\x{85}\p{Z}]+'))) AS n FROM documents GROUP BY 1),
+listed AS (SELECT lower(trim(source)) AS source, max(weight) AS w, max(coalesce(max_repeats, 1)) AS m FROM source_weights GROUP BY 1),
+j AS (SELECT l.source, w, m, coalesce(documents, 0) AS documents, coalesce(n, 0) AS n FROM listed l LEFT JOIN sizes s ON s.source = l.source),
+t AS (SELECT sum(n) AS total, sum(w) AS weight FROM j)
+SELECT j.source, documents, n::BIGINT AS size, m::INT AS max_repeats, round(w / weight, 9) AS target_share, round(total::DOUBLE * w / weight, 3) AS target_size, true AS kept FROM j, t
+"""

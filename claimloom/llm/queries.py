@@ -24,6 +24,17 @@ def p1_pieces(spark: SparkSession, d: str) -> DataFrame:
     return split.oversized_paragraph_pieces(read_table(spark, d, "patents"))
 
 
+def p1_rebuilt(spark: SparkSession, d: str) -> DataFrame:
+    """What the pieces of each paragraph come to: the paragraph itself, within the limit, with the overlap stated."""
+    core = F.struct("piece_no", F.expr("substring(text, core_start - start + 1)").alias("core"))
+    whole = F.concat_ws("", F.transform(F.array_sort(F.collect_list(core)), lambda c: c["core"]))
+    return (
+        p1_pieces(spark, d)
+        .groupBy("patent_id", "paragraph_no")
+        .agg(F.md5(whole).alias("digest"), F.sum(F.col("words") - F.col("overlap_words")).alias("words"), (F.max("words") <= 500).alias("fits"), (F.min(F.when(F.col("piece_no") > 0, F.col("overlap_words"))) == 50).alias("overlaps"))
+    )
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     pairs = knn.similar_pairs(read_table(spark, d, "search_records"), "record_id", "embedding", 10, 0.9)
     return pairs.select(F.col("a").alias("record_id_a"), F.col("b").alias("record_id_b"))
@@ -68,6 +79,12 @@ def p6_splits(spark: SparkSession, d: str) -> DataFrame:
     return splits.grouped_splits(read_table(spark, d, "feature_rows"), "query_id", "patent_id", shares)
 
 
+def p6_together(spark: SparkSession, d: str) -> DataFrame:
+    """(component, rows, together): whether all rows of a component of queries came into one split."""
+    rows = p6_splits(spark, d).where(splits.tidy("query_id").isNotNull())
+    return rows.groupBy("component").agg(F.count("*").alias("rows"), (F.count_distinct("split") == 1).alias("together"))
+
+
 def _leaks(spark: SparkSession, d: str, most_edits: int, long: tuple[int, int] | None = None) -> DataFrame:
     return leaks.leaks(read_table(spark, d, "documents"), "doc_id", "text", read_table(spark, d, "eval_passages"), "item_id", "text", most_edits=most_edits, long=long)
 
@@ -96,6 +113,14 @@ def p8_plan(spark: SparkSession, d: str) -> DataFrame:
     return _mixture(spark, d, mix.tokenizer_sizes(TOKENIZER)).plan("doc_id")
 
 
+def p8_sources(spark: SparkSession, d: str) -> DataFrame:
+    """The listed sources with their sizes and targets in words, and whether the plan keeps to max_repeats."""
+    mixed = _mixture(spark, d)
+    taken = mixed.plan("doc_id").where("source IS NOT NULL").groupBy("source").agg(F.max("copies").alias("most"))
+    rows = mixed.report().select("source", "documents", "size", "max_repeats", F.round("target_share", 9).alias("target_share"), F.round("target_size", 3).alias("target_size"))
+    return rows.join(taken, "source", "left").select(*rows.columns, F.coalesce(F.col("most") <= F.col("max_repeats"), F.lit(True)).alias("kept"))
+
+
 def p9_mended(spark: SparkSession, d: str) -> DataFrame:
     return mojibake.mend_encoding(read_table(spark, d, "documents"), "doc_id", "text")
 
@@ -107,6 +132,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_pieces": p1_pieces,
+    "p1_rebuilt": p1_rebuilt,
     "p2_found": p2_found,
     "p3_found": p3_found,
     "p3_scores": p3_scores,
@@ -116,11 +142,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p5_ranking": p5_ranking,
     "p6_found": p6_found,
     "p6_splits": p6_splits,
+    "p6_together": p6_together,
     "p7_found": p7_found,
     "p7_leaks": p7_leaks,
     "p8_found": p8_found,
     "p8_shares": p8_shares,
     "p8_plan": p8_plan,
+    "p8_sources": p8_sources,
     "p9_found": p9_found,
     "p9_mended": p9_mended,
 }
