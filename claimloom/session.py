@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
+from pyspark import SparkConf
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,12 +29,30 @@ def local_session(cores: int | str = "*", **conf: str) -> SparkSession:
     return spark
 
 
+def session(app: str = "claimloom") -> SparkSession:
+    """The session that spark-submit configures; what it leaves open has the engine's defaults, a missing master is local."""
+    given = SparkConf()
+    builder = SparkSession.builder.appName(given.get("spark.app.name", app))
+    if not given.contains("spark.master"):
+        builder = builder.master("local[*]")
+    for key, value in DEFAULTS.items():
+        if not given.contains(key):
+            builder = builder.config(key, value)
+    return builder.getOrCreate()
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Uses the folder the cluster names in spark.checkpoint.dir; sets a local one only where none is named."""
+    """Uses the folder the cluster names in spark.checkpoint.dir. A local session without one gets a folder of its own.
+
+    On a cluster, a folder of one machine would be read by others: without a shared one this raises.
+    """
     sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        named = sc.getConf().get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="claimloom-"))
+    if not sc._jsc.sc().getCheckpointDir().isEmpty():
+        return
+    named = sc.getConf().get("spark.checkpoint.dir", None)
+    if not named and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+        raise RuntimeError(f"spark.checkpoint.dir must name a folder that all machines of {sc.master} share")
+    sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="claimloom-"))
 
 
 def materialise(df: DataFrame) -> DataFrame:
