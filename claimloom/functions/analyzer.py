@@ -8,12 +8,39 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 # The default English stop words of the public Lucene library.
 STOP_WORDS = "a an and are as at be but by for if in into is it no not of on or such that the their then there these they this to was will with".split()
+# Groups of equal words, US and British spelling and -ise and -ize forms.
+SYNONYM_GROUPS = [
+    ["tyre", "tire"],
+    ["tyres", "tires"],
+    ["fibre", "fiber"],
+    ["fibres", "fibers"],
+    ["aluminium", "aluminum"],
+    ["centre", "center"],
+    ["centred", "centered"],
+    ["mould", "mold"],
+    ["moulded", "molded"],
+    ["moulding", "molding"],
+    ["colour", "color"],
+    ["coloured", "colored"],
+    ["behaviour", "behavior"],
+    ["sulphur", "sulfur"],
+    ["gauge", "gage"],
+    ["vulcanise", "vulcanize"],
+    ["vulcanised", "vulcanized"],
+    ["vulcanisation", "vulcanization"],
+    ["polymerise", "polymerize"],
+    ["polymerised", "polymerized"],
+    ["polymerisation", "polymerization"],
+    ["stabilise", "stabilize"],
+    ["stabilised", "stabilized"],
+]
 TOKEN = r"([\p{L}\p{N}]+(?:['’][\p{L}\p{N}]+)*)"
 
 
@@ -49,6 +76,12 @@ def analyze(c: Column, synonyms: dict[str, str] | None = None, stem: bool = True
     return stem_all(terms) if stem else terms
 
 
+def analyze_text(text: str, synonyms: dict[str, str] | None = None, stem: bool = True) -> list[str]:
+    """As analyze, of one text on the driver: a keyword is analysed once, not for each row it is compared with."""
+    terms = [regex.sub("['’]s$", "", (synonyms or {}).get(t, t)) for t in regex.findall(TOKEN, (text or "").lower())]
+    return [porter(t) if stem else t for t in terms if t and t not in STOP_WORDS]
+
+
 @F.arrow_udf(ArrayType(StringType()))
 def stem_all(arrays: pa.Array) -> pa.Array:
     """Stems of the elements; each distinct word of a batch is stemmed once."""

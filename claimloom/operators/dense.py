@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimloom.operators.lexical import top_k
+from claimloom.operators.lexical import best_k, top_k
 
 #: Query vectors held by a task at a time; a larger query set is taken in blocks.
 QUERY_BLOCK = 4096
@@ -50,11 +50,9 @@ def dense_search(records: DataFrame, queries: DataFrame, k: int, filters=None, k
                 kept, x = batch.take(pa.array(fits[sound])), _unit(flat[sound])
                 if not len(x):
                     continue
-                s = np.round(x @ qs.T, digits)
-                # the k-th best of the batch; ties with it go on too
-                least = np.partition(s, len(s) - k, axis=0)[len(s) - k] if len(s) > k else np.full(len(names), -np.inf)
-                i, j = np.nonzero(s >= least)
-                yield pa.RecordBatch.from_arrays([pa.array(names).take(pa.array(j)), kept.column(0).take(pa.array(i)), pa.array(s[i, j])], names=["query_id", "record_id", "score"])
+                s = np.round(qs @ x.T, digits)
+                i, j = best_k(s, k, kept.column(0))
+                yield pa.RecordBatch.from_arrays([pa.array(names).take(pa.array(i)), kept.column(0).take(pa.array(j)), pa.array(s[i, j])], names=["query_id", "record_id", "score"])
 
         return rows.mapInArrow(run, f"query_id {qkind}, record_id {kind}, score double")
 

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from claimloom.functions.analyzer import analyze
+from claimloom.functions.analyzer import analyze, analyze_text
 
 
 @dataclass(frozen=True)
@@ -29,13 +29,22 @@ class Filters:
     synonyms: dict[str, str] = field(default_factory=dict)
     stem: bool = True
 
-    def predicates(self) -> list[Column]:
+    def _keyword(self, column: str, keyword: str, analysed: bool) -> Column:
+        """Whether a column holds a term of the keyword; of an index' rows the analysed terms are there already."""
+        terms = analyze_text(keyword, self.synonyms, self.stem)
+        wanted = F.array(*map(F.lit, terms)) if terms else F.array().cast("array<string>")
+        if analysed:
+            return F.arrays_overlap(F.col(f"terms_{column}"), F.transform(wanted, lambda t: F.xxhash64(t)))
+        return F.arrays_overlap(analyze(F.col(column), self.synonyms, self.stem), wanted)
+
+    def predicates(self, columns: list[str] = ()) -> list[Column]:
+        """columns: those of the rows to be filtered, which may hold analysed terms."""
         out = []
         if self.classification_prefix:
             out.append(F.col("classification_raw").startswith(self.classification_prefix))
         for column, keyword in (("title", self.title_keyword), ("abstract", self.abstract_keyword)):
             if keyword:
-                out.append(F.arrays_overlap(*[analyze(c, self.synonyms, self.stem) for c in (F.col(column), F.lit(keyword))]))
+                out.append(self._keyword(column, keyword, f"terms_{column}" in columns))
         if self.exact_title:
             out.append(F.col("title") == self.exact_title)
         if self.record_types:
@@ -51,4 +60,5 @@ class Filters:
         return not self.predicates()
 
     def apply(self, df: DataFrame) -> DataFrame:
-        return df.where(reduce(lambda a, b: a & b, self.predicates())) if self.predicates() else df
+        found = self.predicates(df.columns)
+        return df.where(reduce(lambda a, b: a & b, found)) if found else df

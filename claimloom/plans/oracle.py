@@ -1,5 +1,7 @@
 """SQL for DuckDB of the engine's queries."""
 
+from claimloom.functions.analyzer import _STEP2, _STEP3, _STEP4, SYNONYM_GROUPS
+
 _S = r"[\s\x0b\x{85}\p{Z}\x{1c}-\x{1f}]"
 _NS = r"[^\s\x0b\x{85}\p{Z}\x{1c}-\x{1f}]"
 _BARE = "record_id, patent_id, record_type, title, text, classification_raw, claim_number, abstract, classification_section, classification_class, classification_subclass, is_independent, paragraph_start, paragraph_end"
@@ -7,8 +9,57 @@ _TOKENS = r"[\p{L}\p{N}]+(?:[''’][\p{L}\p{N}]+)*"
 _STOP = ", ".join(f"'{w}'" for w in "a an and are as at be but by for if in into is it no not of on or such that the their then there these they this to was will with".split())
 
 
-def _terms(c: str) -> str:
-    return f"list_filter(list_transform(regexp_extract_all(lower(coalesce({c}, '')), '{_TOKENS}'), lambda t: regexp_replace(t, '[''’]s$', '')), lambda t: t NOT IN ({_STOP}) AND t <> '')"
+_SYNONYM = "CASE t " + " ".join(f"WHEN '{w}' THEN '{g[0]}'" for g in SYNONYM_GROUPS for w in g[1:]) + " ELSE t END"
+
+
+def _terms(c: str, synonyms: bool = True) -> str:
+    """A text's terms before they are stemmed."""
+    tokens = f"regexp_extract_all(lower(coalesce({c}, '')), '{_TOKENS}')"
+    if synonyms:
+        tokens = f"list_transform({tokens}, lambda t: {_SYNONYM})"
+    return f"list_filter(list_transform({tokens}, lambda t: regexp_replace(t, '[''’]s$', '')), lambda t: t NOT IN ({_STOP}) AND t <> '')"
+
+
+def _kinds(x: str) -> str:
+    """A word as a string of c and v; y is a vowel after a consonant."""
+    k = f"regexp_replace(translate({x}, 'bcdfghjklmnpqrstvwxzaeiou', '{'c' * 20}{'v' * 5}'), '^y', 'c')"
+    for _ in range(3):
+        k = f"replace(replace({k}, 'cy', 'cv'), 'vy', 'vc')"
+    return k
+
+
+def _cut(x: str, n: int) -> str:
+    return f"left({x}, length({x}) - {n})"
+
+
+def _more(x: str, n: int) -> str:
+    """Whether a stem's measure is above n."""
+    return f"regexp_matches({_kinds(x)}, '{'v+c+' * (n + 1)}')"
+
+
+def _closed(x: str) -> str:
+    return f"(length({x}) >= 3 AND regexp_matches({_kinds(x)}, 'cvc$') AND right({x}, 1) NOT IN ('w', 'x', 'y'))"
+
+
+def _longest(table: dict[str, str], least: int) -> str:
+    """The longest ending of x in the table is replaced where the stem before it has measure above least."""
+    cases = "".join(f" WHEN ends_with(x, '{e}') THEN CASE WHEN {_more(_cut('x', len(e)), least)}{extra} THEN {_cut('x', len(e))} || '{new}' ELSE x END" for e, new, extra in sorted(((e, n, " AND right(left(x, length(x) - 3), 1) IN ('s', 't')" if e == "ion" else "") for e, n in table.items()), key=lambda r: -len(r[0])))
+    return f"CASE{cases} ELSE x END"
+
+
+#: CTEs after vocab (w): stems (w, s), by Porter's published algorithm.
+_STEMS = f"""
+s1 AS (SELECT w, CASE WHEN ends_with(w, 'sses') OR ends_with(w, 'ies') THEN {_cut('w', 2)} WHEN ends_with(w, 's') AND NOT ends_with(w, 'ss') THEN {_cut('w', 1)} ELSE w END AS x FROM vocab WHERE length(w) > 2 AND regexp_matches(w, '^[a-z]+$')),
+s2 AS (SELECT w, x, CASE WHEN ends_with(x, 'eed') THEN NULL WHEN ends_with(x, 'ed') AND contains({_kinds(_cut('x', 2))}, 'v') THEN {_cut('x', 2)} WHEN ends_with(x, 'ing') AND contains({_kinds(_cut('x', 3))}, 'v') THEN {_cut('x', 3)} END AS y FROM s1),
+s3 AS (SELECT w, CASE WHEN ends_with(x, 'eed') THEN CASE WHEN {_more(_cut('x', 3), 0)} THEN {_cut('x', 1)} ELSE x END WHEN y IS NULL THEN x WHEN right(y, 2) IN ('at', 'bl', 'iz') THEN y || 'e'
+  WHEN length(y) > 1 AND right(y, 1) = substr(y, length(y) - 1, 1) AND right({_kinds('y')}, 1) = 'c' AND right(y, 1) NOT IN ('l', 's', 'z') THEN {_cut('y', 1)} WHEN {_more('y', 0)} AND NOT {_more('y', 1)} AND {_closed('y')} THEN y || 'e' ELSE y END AS x FROM s2),
+s4 AS (SELECT w, CASE WHEN ends_with(x, 'y') AND contains({_kinds(_cut('x', 1))}, 'v') THEN {_cut('x', 1)} || 'i' ELSE x END AS x FROM s3),
+s5 AS (SELECT w, {_longest(_STEP2, 0)} AS x FROM s4),
+s6 AS (SELECT w, {_longest(_STEP3, 0)} AS x FROM s5),
+s7 AS (SELECT w, {_longest(dict.fromkeys(_STEP4, ''), 1)} AS x FROM s6),
+s8 AS (SELECT w, CASE WHEN ends_with(x, 'e') AND ({_more(_cut('x', 1), 1)} OR {_more(_cut('x', 1), 0)} AND NOT {_closed(_cut('x', 1))}) THEN {_cut('x', 1)} ELSE x END AS x FROM s7),
+s9 AS (SELECT w, CASE WHEN ends_with(x, 'll') AND {_more('x', 1)} THEN {_cut('x', 1)} ELSE x END AS x FROM s8),
+stems AS (SELECT vocab.w, coalesce(x, vocab.w) AS s FROM vocab LEFT JOIN s9 USING (w))"""
 
 
 def _normal(c: str) -> str:
@@ -23,17 +74,26 @@ _P = "p AS (SELECT * FROM patents WHERE patent_id IS NOT NULL QUALIFY row_number
 
 SQL: dict[str, str] = {}
 SQL["project_fields"] = "SELECT DISTINCT record_id, patent_id, record_type, title, text, classification_raw, claim_number FROM search_records"
-for _name, _where in {
-    "filter_prefix": "starts_with(classification_raw, 'B60C')",
-    "filter_title_keyword": f"list_has_any({_terms('title')}, ['tire', 'wheel'])",
-    "filter_abstract_keyword": f"list_has_any({_terms('abstract')}, ['rubber', 'deflation'])",
-    "filter_record_types": "record_type IN ('claim', 'summary')",
-    "filter_independent": "is_independent",
-    "filters_combined": f"starts_with(classification_raw, 'B60') AND list_has_any({_terms('title')}, ['tire']) AND record_type = 'claim' AND is_independent",
-    "filter_exact_title": "title = (SELECT min(title) FROM search_records)",
-    "filter_exclude_patent": "patent_id IS DISTINCT FROM (SELECT min(patent_id) FROM search_records)",
-}.items():
-    SQL[_name] = f"{_R} SELECT record_id FROM r WHERE {_where}"
+
+
+def _keyword(column: str, words: list[str]) -> str:
+    """CTEs after r: hit (record_id), the records whose column holds a term of the words."""
+    return f"""fd AS (SELECT record_id, unnest({_terms(column)}) AS w FROM r), kw AS (SELECT unnest({_terms("'" + ' '.join(words) + "'")}) AS w), vocab AS (SELECT w FROM fd UNION SELECT w FROM kw), {_STEMS},
+hit AS (SELECT DISTINCT record_id FROM fd JOIN stems USING (w) WHERE s IN (SELECT s FROM kw JOIN stems USING (w)))"""
+
+
+_HIT = "record_id IN (SELECT record_id FROM hit)"
+for _name, _more_ctes, _where in (
+    ("filter_prefix", "", "starts_with(classification_raw, 'B60C')"),
+    ("filter_title_keyword", _keyword("title", ["tire", "wheels"]), _HIT),
+    ("filter_abstract_keyword", _keyword("abstract", ["rubber", "deflated"]), _HIT),
+    ("filter_record_types", "", "record_type IN ('claim', 'summary')"),
+    ("filter_independent", "", "is_independent"),
+    ("filters_combined", _keyword("title", ["tire"]), f"starts_with(classification_raw, 'B60') AND {_HIT} AND record_type = 'claim' AND is_independent"),
+    ("filter_exact_title", "", "title = (SELECT min(title) FROM search_records)"),
+    ("filter_exclude_patent", "", "patent_id IS DISTINCT FROM (SELECT min(patent_id) FROM search_records)"),
+):
+    SQL[_name] = f"{_R}{', ' if _more_ctes else ''}{_more_ctes} SELECT record_id FROM r WHERE {_where}"
 
 _ENTRIES = f"WITH {_P}, e AS (SELECT patent_id, unnest(claims_raw) AS entry, unnest(range(len(claims_raw)))::INT AS pos FROM p)"
 SQL["normalize_claims"] = f"{_ENTRIES} SELECT patent_id, pos, {_normal('entry')} AS normal, {_normal('entry')} = '' AS blank FROM e"
@@ -103,26 +163,38 @@ SELECT u.patent_id || ':' || suffix AS record_id, u.patent_id, record_type, titl
   classification_raw[1:4] AS classification_subclass, is_independent, paragraph_start, paragraph_end FROM u JOIN t ON t.patent_id = u.patent_id WHERE text <> ''"""
 SQL["chunk_passages"] = "SELECT DISTINCT patent_id, paragraph_start AS start, paragraph_end AS \"end\", text FROM search_records WHERE record_type = 'description'"
 
-_INDEX = f"""{_R},
-docs AS (SELECT record_id, 'text' AS field, {_terms('text')} AS terms FROM r UNION ALL SELECT record_id, 'title', {_terms('title')} FROM r),
+def _index(stem: bool = True) -> str:
+    plain = "stems AS (SELECT w, w AS s FROM vocab)"
+    return f"""{_R},
+docs AS (SELECT record_id, 'text' AS field, {_terms('text', stem)} AS terms FROM r UNION ALL SELECT record_id, 'title', {_terms('title', stem)} FROM r),
 sized AS (SELECT *, len(terms) AS dl FROM docs WHERE len(terms) > 0),
-post AS (SELECT field, term, record_id, dl, count(*) AS tf FROM (SELECT field, record_id, dl, unnest(terms) AS term FROM sized) GROUP BY ALL),
+asked AS (SELECT query_id, {_terms('text', stem)} AS terms FROM eval_queries),
+vocab AS (SELECT unnest(terms) AS w FROM sized UNION SELECT unnest(terms) FROM asked), {_STEMS if stem else plain},
+post AS (SELECT field, s AS term, record_id, dl, count(*) AS tf FROM (SELECT field, record_id, dl, unnest(terms) AS w FROM sized) JOIN stems USING (w) GROUP BY ALL),
 df AS (SELECT field, term, count(*) AS df FROM post GROUP BY ALL),
 st AS (SELECT field, count(*) AS n, avg(dl::DOUBLE) AS avgdl FROM sized GROUP BY field)"""
-SQL["term_statistics"] = f"{_INDEX} SELECT field, term, df FROM df"
-SQL["field_statistics"] = f"{_INDEX} SELECT field, n, round(avgdl, 9) AS avgdl FROM st"
-_BM25 = f"""{_INDEX},
-qt AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT query_id, unnest({_terms('text')}) AS term FROM eval_queries) GROUP BY ALL),
+
+
+def _bm25(stem: bool = True) -> str:
+    return f"""{_index(stem)},
+qt AS (SELECT query_id, s AS term, count(*) AS qtf FROM (SELECT query_id, unnest(terms) AS w FROM asked) JOIN stems USING (w) GROUP BY ALL),
 fs AS (
   SELECT query_id, record_id, field, sum(qtf * ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))) AS s
   FROM qt JOIN post USING (term) JOIN df USING (field, term) JOIN st USING (field) GROUP BY ALL
 ), sc AS (SELECT query_id, record_id, round(max(s * CASE WHEN field = 'title' THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END), 4) AS score FROM fs GROUP BY ALL)"""
 
 
+_INDEX, _BM25 = _index(), _bm25()
+SQL["term_statistics"] = f"{_INDEX} SELECT field, term, df FROM df"
+SQL["field_statistics"] = f"{_INDEX} SELECT field, n, round(avgdl, 9) AS avgdl FROM st"
+
+
 def _top(source: str, k: int) -> str:
     return f"SELECT query_id, record_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, record_id)::INT AS rank FROM {source} QUALIFY rank <= {k}"
 
 
+SQL["bm25_plain"] = f"{_bm25(False)} {_top('sc', 10)}"
+SQL["bm25_keyword"] = f"{_BM25}, fs2 AS (SELECT DISTINCT record_id FROM post WHERE field = 'title' AND term IN ('tyre', 'wheel')), kept AS (SELECT * FROM sc WHERE record_id IN (SELECT record_id FROM fs2)) {_top('kept', 10)}"
 SQL["bm25_topk"] = f"{_BM25} {_top('sc', 10)}"
 SQL["bm25_filtered"] = f"{_BM25}, ok AS (SELECT record_id FROM r WHERE starts_with(classification_raw, 'B60') AND record_type = 'claim'), kept AS (SELECT * FROM sc WHERE record_id IN (SELECT record_id FROM ok)) {_top('kept', 10)}"
 
@@ -292,8 +364,10 @@ _TOP20 = f"{_RANKED}, t AS (SELECT *, row_number() OVER (PARTITION BY query_id O
 SQL["rerank_identity"] = f"{_TOP20} SELECT query_id, record_id, (count(*) OVER (PARTITION BY query_id) - rank + 1)::DOUBLE AS rerank_score, rank::INT AS rank FROM t"
 SQL["rerank_overlap"] = f"""{_TOP20}, s AS (SELECT query_id, record_id, rank, {_overlap('query', 'text[1:2000]')} AS v FROM t)
 SELECT query_id, record_id, round(v, 9) AS rerank_score, row_number() OVER (PARTITION BY query_id ORDER BY v DESC, s.rank)::INT AS rank FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY v DESC, s.rank) <= 10"""
-SQL["synonym_terms"] = f"""SELECT query_id, list_filter(list_transform(list_transform(regexp_extract_all(lower(coalesce(text, '')), '{_TOKENS}'), lambda t: CASE t WHEN 'tyre' THEN 'tire' WHEN 'fibre' THEN 'fiber' WHEN 'felloe' THEN 'rim' ELSE t END),
-  lambda t: regexp_replace(t, '[''’]s$', '')), lambda t: t NOT IN ({_STOP}) AND t <> '') AS terms FROM eval_queries"""
+SQL["synonym_terms"] = f"SELECT query_id, {_terms('text')} AS terms FROM eval_queries"
+SQL["stem_terms"] = f"""WITH asked AS (SELECT query_id, {_terms('text')} AS terms FROM eval_queries), each AS (SELECT query_id, unnest(terms) AS w, unnest(range(len(terms))) AS i FROM asked), vocab AS (SELECT DISTINCT w FROM each), {_STEMS},
+listed AS (SELECT query_id, list(s ORDER BY i) AS terms FROM each JOIN stems USING (w) GROUP BY query_id)
+SELECT asked.query_id, coalesce(listed.terms, []) AS terms FROM asked LEFT JOIN listed ON listed.query_id = asked.query_id"""
 SQL["content_hash"] = f"WITH {_P} SELECT patent_id, sha256(concat_ws('|', patent_id, title, classification_raw)) AS hash FROM p"
 SQL["hashing_embed"] = """WITH b AS (SELECT query_id, unnest(range(40))::INT AS i, sha256(coalesce(text, '')) AS h FROM eval_queries),
 x AS (SELECT query_id, i, ('0x' || h[(i % 32) * 2 + 1 : (i % 32) * 2 + 2])::INT / 255.0::DOUBLE AS v FROM b)

@@ -16,7 +16,7 @@ from claimloom.streaming import ingest
 
 HIT_FIELDS = ["record_id", "patent_id", "record_type", "title", "text", "classification_raw", "claim_number"]
 BARE = [*HIT_FIELDS, "abstract", "classification_section", "classification_class", "classification_subclass", "is_independent", "paragraph_start", "paragraph_end"]
-SYNONYMS = [["tire", "tyre"], ["fiber", "fibre"], ["rim", "felloe"]]
+SYNONYMS = analyzer.canonical_synonyms(analyzer.SYNONYM_GROUPS)
 
 
 def _records(spark: SparkSession, d: str, columns: list[str] | None = None) -> DataFrame:
@@ -130,7 +130,7 @@ def chunk_passages(spark, d):
 
 
 def _index(spark, d) -> lexical.LexicalIndex:
-    return lexical.build_index(_records(spark, d), stem=False)
+    return lexical.build_index(_records(spark, d), synonyms=SYNONYMS)
 
 
 def term_statistics(spark, d):
@@ -142,16 +142,21 @@ def field_statistics(spark, d):
 
 
 def bm25_topk(spark, d):
-    return lexical.bm25_search(_index(spark, d), _eval(spark, d), 10, stem=False)
+    return lexical.bm25_search(_index(spark, d), _eval(spark, d), 10, synonyms=SYNONYMS)
 
 
 def bm25_filtered(spark, d):
-    return lexical.bm25_search(_index(spark, d), _eval(spark, d), 10, Filters(classification_prefix="B60", record_types=["claim"]), stem=False)
+    return lexical.bm25_search(_index(spark, d), _eval(spark, d), 10, Filters(classification_prefix="B60", record_types=["claim"]), synonyms=SYNONYMS)
 
 
-def bm25_stemmed(spark, d):
-    table = analyzer.canonical_synonyms(SYNONYMS)
-    return lexical.bm25_search(lexical.build_index(_records(spark, d), synonyms=table), _eval(spark, d), 10, synonyms=table)
+def bm25_keyword(spark, d):
+    """A title filter on an index, whose analysed titles it reads."""
+    return lexical.bm25_search(_index(spark, d), _eval(spark, d), 10, Filters(title_keyword="tires, wheel", synonyms=SYNONYMS), synonyms=SYNONYMS)
+
+
+def bm25_plain(spark, d):
+    """Without synonyms and stems."""
+    return lexical.bm25_search(lexical.build_index(_records(spark, d), stem=False), _eval(spark, d), 10, stem=False)
 
 
 def _vectors(spark, d) -> DataFrame:
@@ -179,7 +184,7 @@ def dense_table(spark, d):
 
 
 def _hybrid(spark, d, k: int = 20) -> DataFrame:
-    words = lexical.bm25_search(_index(spark, d), _eval(spark, d), 50, stem=False)
+    words = lexical.bm25_search(_index(spark, d), _eval(spark, d), 50, synonyms=SYNONYMS)
     return fusion.fuse(words, dense.dense_search(_dense_records(spark, d), _vectors(spark, d), 50), k)
 
 
@@ -344,12 +349,12 @@ def lexical_overlap(spark, d):
 
 
 def synonym_terms(spark, d):
-    terms = analyzer.analyze(F.col("text"), analyzer.canonical_synonyms(SYNONYMS), stem=False)
+    terms = analyzer.analyze(F.col("text"), SYNONYMS, stem=False)
     return _eval(spark, d).select("query_id", terms.alias("terms"))
 
 
 def stem_terms(spark, d):
-    return _eval(spark, d).select("query_id", analyzer.analyze(F.col("text")).alias("terms"))
+    return _eval(spark, d).select("query_id", analyzer.analyze(F.col("text"), SYNONYMS).alias("terms"))
 
 
 def content_hash(spark, d):
@@ -400,7 +405,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         project_fields, filter_exact_title, filter_exclude_patent, normalize_claims, word_counts, claim_segments, claim_numbers, reconstruct_claims, reconstruction_stats, claim_parents, claim_invariant,
-        build_records, chunk_passages, term_statistics, field_statistics, bm25_topk, bm25_filtered, bm25_stemmed, dense_topk, dense_filtered, dense_table, hybrid_topk, hybrid_grouped, group_runs, engine_search,
+        build_records, chunk_passages, term_statistics, field_statistics, bm25_topk, bm25_filtered, bm25_keyword, bm25_plain, dense_topk, dense_filtered, dense_table, hybrid_topk, hybrid_grouped, group_runs, engine_search,
         facet_subclass, facet_record_type, corpus_stats, patent_lookup, latest_patents, validate_issues, quality_report, evaluate_queries, evaluate_systems, latency_percentiles, pool_candidates, pool_stats,
         pool_unjudged, merge_qrels, t_test_terms, compare_systems, trec_run, eval_set, overlap_report, cross_patent, ltr_features, ltr_labels, ltr_usable_rows, ltr_split, ltr_rerank, rerank_identity,
         rerank_overlap, lexical_overlap, synonym_terms, stem_terms, content_hash, hashing_embed, job_enqueue_decision, job_counts, job_summary, job_failures, job_claim, job_reclaim, event_windows, distinct_hits,
@@ -408,9 +413,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 QUERIES |= {
     "filter_prefix": _filtered(Filters(classification_prefix="B60C")),
-    "filter_title_keyword": _filtered(Filters(title_keyword="tire wheel", stem=False)),
-    "filter_abstract_keyword": _filtered(Filters(abstract_keyword="rubber deflation", stem=False)),
+    "filter_title_keyword": _filtered(Filters(title_keyword="tire wheels", synonyms=SYNONYMS)),
+    "filter_abstract_keyword": _filtered(Filters(abstract_keyword="rubber deflated", synonyms=SYNONYMS)),
     "filter_record_types": _filtered(Filters(record_types=["claim", "summary"])),
     "filter_independent": _filtered(Filters(independent_only=True)),
-    "filters_combined": _filtered(Filters(classification_prefix="B60", title_keyword="tire", record_types=["claim"], independent_only=True, stem=False)),
+    "filters_combined": _filtered(Filters(classification_prefix="B60", title_keyword="tire", record_types=["claim"], independent_only=True, synonyms=SYNONYMS)),
 }
