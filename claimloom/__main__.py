@@ -12,17 +12,18 @@ from claimloom.operators import lexical, metrics, significance
 from claimloom.operators.filters import Filters
 from claimloom.operators.rerank import overlap_score
 from claimloom.plans.engine import METHODS, SearchEngine
-from claimloom.session import local_session
+from claimloom.session import session
 from claimloom.sources.corpus import load_corpus
-from claimloom.sources.files import read_eval_set, read_synonyms, write_record_table
-from claimloom.streaming.ingest import JobTable, ingest_batch
+from claimloom.plans.reports import write_reports
+from claimloom.sources.files import read_eval_set, read_synonyms
+from claimloom.streaming.ingest import JobTable, RecordTable, ingest_batch
 
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="claimloom")
     sub = p.add_subparsers(dest="command", required=True)
     a = sub.add_parser("ingest", help="corpus files to record tables, new and changed patents only")
-    a.add_argument("corpus"), a.add_argument("records"), a.add_argument("--jobs", required=True), a.add_argument("--parser-version", default="1")
+    a.add_argument("corpus"), a.add_argument("records"), a.add_argument("--jobs", required=True), a.add_argument("--parser-version", default="1"), a.add_argument("--reports", help="folder for the quality reports")
     a = sub.add_parser("index", help="record table to a lexical index")
     a.add_argument("records"), a.add_argument("index"), a.add_argument("--synonyms", default=""), a.add_argument("--embedder", default="hashing:32")
     for name in ("search", "evaluate"):
@@ -34,15 +35,17 @@ def parser() -> argparse.ArgumentParser:
 
 def main(arguments: list[str] | None = None) -> None:
     args = parser().parse_args(arguments)
-    spark = local_session()
+    spark = session()
     if args.command == "ingest":
         patents, issues = load_corpus(spark, args.corpus)
-        queued, skipped = ingest_batch(patents, JobTable(spark, args.jobs), lambda r: write_record_table(r, args.records, "append"), args.parser_version)
+        queued, skipped = ingest_batch(patents, JobTable(spark, args.jobs), RecordTable(spark, args.records).append, args.parser_version)
         print(f"queued {queued}, skipped {skipped}, issues {issues.count()}")
+        if args.reports:
+            write_reports(patents, issues, args.reports)
         return
     synonyms = canonical_synonyms(read_synonyms(args.synonyms)) if args.synonyms else {}
     if args.command == "index":
-        records = spark.read.parquet(args.records).dropDuplicates(["record_id"]).withColumn("embedding", embedder(args.embedder)(F.col("text")))
+        records = RecordTable(spark, args.records).read().dropDuplicates(["record_id"]).withColumn("embedding", embedder(args.embedder)(F.col("text")))
         lexical.build_index(records, synonyms=synonyms).write(args.index)
         return
     index = lexical.LexicalIndex.read(spark, args.index)

@@ -9,9 +9,14 @@ from claimloom.functions.text import canceled_range, claim_number, dependencies,
 
 
 def latest_rows(patents: DataFrame, key: str = "patent_id", at: str = "ingested_at") -> DataFrame:
-    """One row a key, the latest; two narrow columns decide, the wide rows only join the result."""
+    """One row a key, the latest; two narrow columns decide, the wide rows only join the result.
+
+    Of rows of one time that differ, the one with the least hash counts.
+    """
+    columns = patents.columns
     latest = patents.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_k")).agg(F.max(at).alias("_a"))
-    return patents.join(latest, (F.col(key) == F.col("_k")) & F.col(at).eqNullSafe(F.col("_a"))).drop("_k", "_a").dropDuplicates([key])
+    rows = patents.join(latest, (F.col(key) == F.col("_k")) & F.col(at).eqNullSafe(F.col("_a"))).drop("_k", "_a")
+    return rows.groupBy(F.col(key).alias("_k")).agg(F.min_by(F.struct(*columns), F.xxhash64(*columns)).alias("_r")).select("_r.*")
 
 
 def claim_segments(patents: DataFrame) -> DataFrame:

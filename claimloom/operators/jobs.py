@@ -15,24 +15,47 @@ JOB = (
 )
 
 
-def unchanged(incoming: str = "n", job: str = "j") -> Column:
+def same_content(incoming: str = "n", job: str = "j") -> Column:
+    """Whether the content and the versions it was processed with are those of the job; null where there is none."""
     same = [F.col(f"{job}.{c}").eqNullSafe(F.col(f"{incoming}.{c}")) for c in ("source_hash", "parser_version", "embedding_model")]
-    return F.coalesce((F.col(f"{job}.status") == COMPLETED) & same[0] & same[1] & same[2], F.lit(False))
+    return F.col(f"{job}.status").isNotNull() & same[0] & same[1] & same[2]
 
 
 def enqueue_decisions(jobs: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Incoming (patent_id, source_file, source_hash, parser_version, embedding_model) with queue: false if nothing changed since completion."""
-    n = incoming.where(F.coalesce("patent_id", F.lit("")) != "").dropDuplicates(["patent_id"])
-    return n.alias("n").join(jobs.alias("j"), "patent_id", "left").select("patent_id", *[F.col(f"n.{c}").alias(c) for c in ("source_file", "source_hash", "parser_version", "embedding_model")], (~unchanged()).alias("queue"))
+    """Incoming (patent_id, source_file, source_hash, parser_version, embedding_model) with queue and retry_count.
+
+    queue is false where nothing changed since the patent was completed, or since it failed for good. retry_count goes on
+    where the same content is queued again, so that a patent that always fails comes to an end; changed content starts
+    anew. Of several rows of a patent the one with the least hash counts.
+    """
+    own = ["source_file", "source_hash", "parser_version", "embedding_model"]
+    n = incoming.where(F.coalesce("patent_id", F.lit("")) != "").groupBy("patent_id").agg(F.min_by(F.struct(*own), "source_hash").alias("r")).select("patent_id", "r.*")
+    settled = F.coalesce(F.col("j.status").isin(COMPLETED, FAILED) & same_content(), F.lit(False))
+    retries = F.when(same_content(), F.col("j.retry_count")).otherwise(0)
+    return n.alias("n").join(jobs.alias("j"), "patent_id", "left").select("patent_id", *[F.col(f"n.{c}").alias(c) for c in own], (~settled).alias("queue"), F.coalesce(retries, F.lit(0)).alias("retry_count"))
+
+
+def enqueued(decisions: DataFrame, now: float) -> DataFrame:
+    """The PENDING rows of the decisions that queue."""
+    return decisions.where("queue").select(
+        "patent_id", "source_file", "source_hash", F.lit(PENDING).alias("status"), "parser_version", "embedding_model", F.lit(0).cast("long").alias("record_count"), F.col("retry_count").cast("int").alias("retry_count"),
+        F.lit(None).cast("string").alias("last_error"), F.lit(None).cast("string").alias("worker_id"), F.lit(None).cast("double").alias("leased_at"), F.lit(now).alias("updated_at"),
+    )
+
+
+def replaced(jobs: DataFrame, changed: DataFrame) -> DataFrame:
+    """The table with the changed rows in place of their earlier state."""
+    return jobs.join(changed.select("patent_id"), "patent_id", "left_anti").unionByName(changed)
 
 
 def enqueue(jobs: DataFrame, incoming: DataFrame, now: float) -> DataFrame:
-    """The table with every changed or new patent PENDING; its retries start anew, so a failed job is taken up again."""
-    fresh = enqueue_decisions(jobs, incoming).where("queue").select(
-        "patent_id", "source_file", "source_hash", F.lit(PENDING).alias("status"), "parser_version", "embedding_model", F.lit(0).cast("long").alias("record_count"), F.lit(0).alias("retry_count"),
-        F.lit(None).cast("string").alias("last_error"), F.lit(None).cast("string").alias("worker_id"), F.lit(None).cast("double").alias("leased_at"), F.lit(now).alias("updated_at"),
-    )
-    return jobs.join(fresh.select("patent_id"), "patent_id", "left_anti").unionByName(fresh)
+    """The table with every changed or new patent PENDING."""
+    return replaced(jobs, enqueued(enqueue_decisions(jobs, incoming), now))
+
+
+def requeue_failed(jobs: DataFrame, now: float) -> DataFrame:
+    """The table with failed jobs PENDING and their retries anew, for use after what made them fail is mended."""
+    return _change(jobs, F.col("status") == FAILED, status=F.lit(PENDING), retry_count=F.lit(0), updated_at=F.lit(now))
 
 
 def _change(jobs: DataFrame, where: Column, **values: Column) -> DataFrame:
@@ -44,16 +67,23 @@ def claimable(jobs: DataFrame, limit: int, max_retries: int = MAX_RETRIES) -> Da
     return jobs.where((F.col("status") == PENDING) & (F.col("retry_count") < max_retries)).orderBy("updated_at", "patent_id").limit(limit)
 
 
+def leased(taken: DataFrame, worker: str, now: float) -> DataFrame:
+    """The rows taken, as the worker holds them."""
+    return taken.withColumns({"status": F.lit(IN_FLIGHT[0]), "worker_id": F.lit(worker), "leased_at": F.lit(now), "updated_at": F.lit(now)})
+
+
 def claim(jobs: DataFrame, worker: str, limit: int, now: float, max_retries: int = MAX_RETRIES) -> DataFrame:
     """The table with up to limit jobs leased to the worker. A table has one writer at a time: the caller or the stream."""
-    taken = claimable(jobs, limit, max_retries).select("patent_id", F.lit(True).alias("_taken"))
-    marked = jobs.join(taken, "patent_id", "left")
-    mine = F.coalesce("_taken", F.lit(False))
-    return _change(marked, mine, status=F.lit(IN_FLIGHT[0]), worker_id=F.lit(worker), leased_at=F.lit(now), updated_at=F.lit(now)).drop("_taken")
+    return replaced(jobs, leased(claimable(jobs, limit, max_retries), worker, now))
 
 
-def advance(jobs: DataFrame, ids: list[str], status: str, now: float) -> DataFrame:
-    return _change(jobs, F.col("patent_id").isin(ids), status=F.lit(status), leased_at=F.lit(now), updated_at=F.lit(now))
+def advance(jobs: DataFrame, ids: list[str] | DataFrame, status: str, now: float) -> DataFrame:
+    """The table with the jobs at a stage and their leases renewed. ids: a few, or a table with patent_id."""
+    values = dict(status=F.lit(status), leased_at=F.lit(now), updated_at=F.lit(now))
+    if isinstance(ids, DataFrame):
+        marked = jobs.join(ids.select("patent_id", F.lit(True).alias("_mine")).distinct(), "patent_id", "left")
+        return _change(marked, F.coalesce("_mine", F.lit(False)), **values).drop("_mine")
+    return _change(jobs, F.col("patent_id").isin(ids), **values)
 
 
 def apply_outcomes(jobs: DataFrame, outcomes: DataFrame, now: float, max_retries: int = MAX_RETRIES) -> DataFrame:
@@ -84,6 +114,11 @@ def reclaim_stale(jobs: DataFrame, now: float, lease: float = LEASE_SECONDS) ->
     return _change(jobs, over, status=F.lit(PENDING), worker_id=F.lit(None).cast("string"), leased_at=F.lit(None).cast("double"), updated_at=F.lit(now))
 
 
+def get(jobs: DataFrame, patent_id: str) -> DataFrame:
+    """The job of a patent; empty if there is none."""
+    return jobs.where(F.col("patent_id") == patent_id)
+
+
 def counts(jobs: DataFrame) -> DataFrame:
     return jobs.groupBy("status").agg(F.count("*").alias("jobs"))
 

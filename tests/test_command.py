@@ -16,7 +16,9 @@ def test_from_files_to_scores(spark, tmp_path, capsys):
     (tmp_path / "patents_0.json").write_text(json.dumps(records))
     paths = {n: str(tmp_path / n) for n in ("records", "jobs", "index", "eval.jsonl")}
     for _ in range(2):
-        main(["ingest", str(tmp_path), paths["records"], "--jobs", paths["jobs"]])
+        main(["ingest", str(tmp_path), paths["records"], "--jobs", paths["jobs"], "--reports", str(tmp_path / "reports")])
+    reports = {n: {r["key"]: r["value"] for r in json.loads((tmp_path / "reports" / f"{n}.json").read_text())} for n in ("data_quality", "extraction_quality")}
+    assert reports["data_quality"]["patents_loaded"] == 12 and reports["extraction_quality"]["claims_total"] == 24 and reports["extraction_quality"]["numbers_given_twice"] == 0
     said = capsys.readouterr().out
     assert "queued 12, skipped 0" in said and "queued 0, skipped 12" in said
     main(["index", paths["records"], paths["index"]])

@@ -113,6 +113,8 @@ def test_job_life(spark):
     assert J.failures(bad).count() == 1 and {r.status: r.jobs for r in J.counts(bad).collect()} == {"FAILED": 1, "PENDING": 1}
     again = J.enqueue(bad, incoming(spark, ("P1", "new")), 9.0)
     assert J.claimable(again, 9).count() == 2  # a changed patent starts anew
+    same = J.enqueue(bad, incoming(spark, ("P1", "a")), 9.0)
+    assert J.get(same, "P1").first().status == "FAILED" and J.claimable(J.requeue_failed(same, 9.0), 9).count() == 2
 
 
 def test_ingest_is_idempotent(spark, tmp_path):
@@ -130,9 +132,63 @@ def test_ingest_is_idempotent(spark, tmp_path):
     def broken(_):
         raise OSError("disk")
 
-    with pytest.raises(OSError):
-        ingest.ingest_batch(edited, table, broken, "3")
-    assert table.read().where("status = 'PENDING' AND retry_count = 1 AND last_error LIKE 'OSError%'").count() == 18
+    for retries in (1, 2, 3):
+        with pytest.raises(OSError):
+            ingest.ingest_batch(edited, table, broken, "3")
+        rows = table.read().where("last_error LIKE 'OSError%'").collect()
+        assert {(r.status, r.retry_count) for r in rows} == {("PENDING" if retries < 3 else "FAILED", retries)} and len(rows) == 18
+    assert ingest.ingest_batch(edited, table, sink, "3") == (0, 18)  # failed for good: nothing is queued
+    table.write(J.requeue_failed(table.read(), 1.0))
+    assert ingest.drain(edited, table, sink).completed == 18
+
+
+def test_one_bad_patent_fails_alone(spark, tmp_path):
+    row = dict(title="T", abstract="An axle is held.", classification_raw="B60", description_paragraphs=["Text."], bibtex="", filename="", has_description=True, source_file="f")
+    rows = [row | {"patent_id": "good", "claims_raw": ["1. A thing."]}, row | {"patent_id": "bad", "claims_raw": [" "]}, row | {"patent_id": "gone", "claims_raw": ["1. A thing."]}]
+    patents = spark.createDataFrame(rows, "patent_id string, title string, abstract string, classification_raw string, claims_raw array<string>, description_paragraphs array<string>, bibtex string, source_file string, filename string, has_description boolean")
+    table, records = ingest.JobTable(spark, str(tmp_path / "jobs")), ingest.RecordTable(spark, str(tmp_path / "records"))
+    table.update(J.enqueue(table.read(), ingest.patents_hash(patents).selectExpr("*", "'1' AS parser_version", "CAST(NULL AS string) AS embedding_model"), 1.0))
+    result = ingest.drain(patents.where("patent_id <> 'gone'"), table, records.append, batch=2)
+    assert (result.completed, result.failed, result.processed, result.records) == (1, 2, 7, records.read().count())
+    got = {r.patent_id: r for r in table.read().collect()}
+    assert got["good"].status == "COMPLETED" and got["good"].worker_id is None and got["good"].record_count == result.records
+    assert got["bad"].status == "FAILED" and "no non-blank claims" in got["bad"].last_error and got["bad"].retry_count == 3
+    assert "not found" in got["gone"].last_error
+    assert ingest.drain(patents, table, records.append).processed == 0
+
+
+def test_updated_patents_replace_their_records(spark, tmp_path):
+    first = [RECORD | {"doc_number": f"P{i}", "claims": ["1 . One.", "2 . Two.", "3 . Three."]} for i in range(3)]
+    patents, _ = corpus.load_corpus(spark, corpus_of(tmp_path, first))
+    table, records = ingest.JobTable(spark, str(tmp_path / "jobs")), ingest.RecordTable(spark, str(tmp_path / "records"))
+    ingest.ingest_batch(patents, table, records.append, "1")
+    before = records.read().count()
+    changed = patents.withColumn("claims_raw", F.when(F.col("patent_id") == "P1", F.array(F.lit("1 . Other."))).otherwise(F.col("claims_raw")))
+    assert ingest.ingest_batch(changed, table, records.append, "1") == (1, 2)
+    now = records.read()
+    assert now.count() == before - 2 and now.where("patent_id = 'P1' AND record_type = 'claim'").select("text").collect()[0].text == "1 . Other."
+    assert now.select("record_id").distinct().count() == now.count()
+
+
+def test_the_latest_of_several_deliveries_counts(spark, tmp_path):
+    base = dict(title="T", classification_raw="B60", claims_raw=["1. A thing."], description_paragraphs=["Text."], bibtex="", filename="", has_description=True, source_file="f")
+    rows = [base | {"patent_id": "P", "abstract": a, "ingested_at": t} for a, t in (("old", 1), ("new", 3), ("middle", 2))]
+    patents = spark.createDataFrame(rows, "patent_id string, title string, abstract string, classification_raw string, claims_raw array<string>, description_paragraphs array<string>, bibtex string, source_file string, filename string, has_description boolean, ingested_at int")
+    table, records = ingest.JobTable(spark, str(tmp_path / "jobs")), ingest.RecordTable(spark, str(tmp_path / "records"))
+    assert ingest.ingest_batch(patents, table, records.append, "1") == (1, 0)
+    assert records.read().where("record_type = 'abstract'").first().text == "new"
+    assert ingest.ingest_batch(patents.where("ingested_at = 3"), table, records.append, "1") == (0, 1)
+
+
+def test_job_table_versions(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ingest.JobTable, "COMPACT", 3)
+    table = ingest.JobTable(spark, str(tmp_path / "jobs"))
+    assert table.read().count() == 0
+    table.write(J.enqueue(table.read(), incoming(spark, *[(f"P{i}", "a") for i in range(9)]), 1.0))
+    for i in range(8):
+        table.update(table.read().where(f"patent_id = 'P{i}'").withColumn("status", F.lit("COMPLETED")).withColumn("updated_at", F.lit(2.0 + i)))
+    assert {r.status: r.jobs for r in J.counts(table.read()).collect()} == {"COMPLETED": 8, "PENDING": 1}
+    assert len(table.names()) <= 9 and sum(n.endswith("-all") for n in table.names()) <= 2
 
 
 def test_streams(spark, tmp_path, sf):
