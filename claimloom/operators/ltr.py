@@ -53,12 +53,28 @@ def usable_rows(feature_rows: DataFrame) -> DataFrame:
 
 def split_by_patent(rows: DataFrame, test_fraction: float = 0.25, seed: int = 17) -> DataFrame:
     """Rows with split train or test; a patent is in one only. The cut is at max(1, int(n * (1 - fraction))) patents in hash order."""
-    patents = rows.select("patent_id").where("patent_id IS NOT NULL").distinct()
-    n = patents.count()
-    cut = max(1, int(n * (1 - test_fraction)))
-    # the hash of the last training patent divides the rows, so no global window is needed
-    edge = patents.select(F.xxhash64("patent_id", F.lit(seed)).alias("h")).orderBy("h").limit(cut).agg(F.max("h")).first()[0]
-    return rows.where("patent_id IS NOT NULL").withColumn("split", F.when(F.xxhash64("patent_id", F.lit(seed)) <= F.lit(edge), "train").otherwise("test"))
+    h = F.xxhash64("patent_id", F.lit(seed))
+    patents = rows.select("patent_id").where("patent_id IS NOT NULL").distinct().select(h.alias("h"))
+    edge = nth_least(patents, "h", lambda n: max(1, int(n * (1 - test_fraction))))
+    return rows.where("patent_id IS NOT NULL").withColumn("split", F.when(h <= F.lit(edge), "train").otherwise("test"))
+
+
+def nth_least(values: DataFrame, column: str, which) -> int | None:
+    """The which(n)-th least of n 64-bit numbers, or None of none: two counts by ranges, then one range is looked at.
+
+    The numbers are hashes, so that ranges of their leading bits are even; no task sorts more than a range.
+    """
+    top = F.shiftright(column, 48)
+    per = {r.t: r.n for r in values.groupBy(top.alias("t")).agg(F.count("*").alias("n")).collect()}  # at most 65,536 rows
+    n = sum(per.values())
+    if not n:
+        return None
+    left = which(n)
+    for t in sorted(per):
+        if left <= per[t]:
+            break
+        left -= per[t]
+    return values.where(top == t).orderBy(column).limit(left).agg(F.max(column)).first()[0]
 
 
 def train(rows: DataFrame, iterations: int = 300, depth: int = 4, step: float = 0.05, subsample: float = 0.9, seed: int = 17):
@@ -102,11 +118,16 @@ def load(path: str):
     return PipelineModel.load(f"{path}/model")
 
 
+def score_with_model(model, hits: DataFrame) -> DataFrame:
+    """Hits with the model's rerank_score."""
+    return model.transform(features(hits).drop("rerank_score")).drop("_features")
+
+
 def rerank_with_model(model, hits: DataFrame) -> DataFrame:
     """Hits rescored by the model; the candidate set stays."""
     from claimloom.operators.rerank import rerank
 
-    return rerank(model.transform(features(hits).drop("rerank_score")).drop("_features"), "rerank_score")
+    return rerank(score_with_model(model, hits), "rerank_score")
 
 
 def label_distribution(rows: DataFrame) -> DataFrame:

@@ -40,7 +40,7 @@ def evaluate(run: DataFrame, qrels: DataFrame, queries: DataFrame | None = None,
     have zeros for every system; without it only queries in the run are given. precision divides by k, map by the lesser
     of k and the relevant.
     """
-    graded = judged_run(run, qrels)
+    graded = judged_run(run.where(F.col("rank") <= max(ks)), qrels)  # no metric looks further
     w = Window.partitionBy("system", "query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
     rel = F.col("grade") >= 1
     graded = graded.withColumn("_hits", F.sum(rel.cast("int")).over(w))
@@ -88,9 +88,22 @@ def percentile(values: Column, p: float) -> Column:
     return F.when(F.size(values) > 0, F.element_at(F.array_sort(values), F.greatest(F.lit(1), F.least(at, F.size(values)))))
 
 
-def nearest_rank(df: DataFrame, group: str, value: str, ps: tuple[float, ...] = (50, 95)) -> DataFrame:
-    """(group, p..., mean, n) without collecting a group: places by window, the wanted ones kept."""
-    w = Window.partitionBy(group)
-    placed = df.where(F.col(value).isNotNull()).select(group, F.col(value).cast("double").alias("v")).withColumns({"i": F.row_number().over(w.orderBy("v")), "n": F.count("*").over(w)})
-    want = lambda p: F.col("i") == F.bround(F.lit(p / 100.0) * (F.col("n") - 1).cast("double")).cast("int") + 1
-    return placed.groupBy(group).agg(*[F.max(F.when(want(p), F.col("v"))).alias(f"p{p:g}") for p in ps], F.avg("v").alias("mean"), F.count("*").alias("n"))
+def nearest_rank(df: DataFrame, group: str, value: str, ps: tuple[float, ...] = (50, 95), ranges: int = 64) -> DataFrame:
+    """(group, p..., mean, n) without collecting or sorting a group in one task.
+
+    Equal values are counted first. The distinct ones of a group are cut into ranges at approximate quantiles, and the
+    counts of the ranges before are added to the running counts within.
+    """
+    values = df.where(F.col(value).isNotNull()).groupBy(F.col(group).alias("g"), F.col(value).cast("double").alias("v")).agg(F.count("*").alias("c"))
+    edges = values.groupBy("g").agg(F.percentile_approx("v", [i / ranges for i in range(1, ranges)], 10 * ranges).alias("e"))
+    same = F.col("x.g").eqNullSafe(F.col("y.g"))
+    ranged = values.alias("x").join(edges.alias("y"), same).select("x.g", "v", "c", F.size(F.filter("e", lambda q: q < F.col("v"))).alias("r"))
+    totals = ranged.groupBy("g", "r").agg(F.sum("c").alias("t"))  # at most `ranges` rows a group
+    w = Window.partitionBy("g")
+    offsets = totals.select("g", "r", F.coalesce(F.sum("t").over(w.orderBy("r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"), F.sum("t").over(w).alias("n"))
+    run = F.sum("c").over(Window.partitionBy("x.g", "x.r").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    placed = ranged.alias("x").join(offsets.alias("y"), same & (F.col("x.r") == F.col("y.r"))).select("x.g", "v", "c", "n", (F.col("before") + run).alias("upto"))
+    want = lambda p: F.bround(F.lit(p / 100.0) * (F.col("n") - 1).cast("double")).cast("long") + 1
+    there = lambda p: (F.col("upto") - F.col("c") < want(p)) & (F.col("upto") >= want(p))
+    found = placed.groupBy("g").agg(*[F.max(F.when(there(p), F.col("v"))).alias(f"p{p:g}") for p in ps], (F.sum(F.col("v") * F.col("c")) / F.sum("c")).alias("mean"), F.sum("c").alias("n"))
+    return found.withColumnRenamed("g", group)

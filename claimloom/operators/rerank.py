@@ -58,12 +58,13 @@ def parse_grades(reply: str | None, size: int, default: float = NEUTRAL) -> list
     return out
 
 
-def model_grades(hits: DataFrame, ask: Callable[[str, list[str]], str], query: str = "query", text: str = "text") -> DataFrame:
-    """Hits with rerank_score from a language model asked about MODEL_GROUP texts at a time."""
+def model_grades(hits: DataFrame, load: Callable[[], Callable[[str, list[str]], str]], query: str = "query", text: str = "text") -> DataFrame:
+    """Hits with rerank_score from a language model asked about MODEL_GROUP texts at a time; load() runs once in each task."""
     w = Window.partitionBy("query_id").orderBy("rank")
     grouped = hits.withColumn("_g", F.floor((F.row_number().over(w) - 1) / MODEL_GROUP)).groupBy("query_id", "_g").agg(F.first(query).alias("q"), F.sort_array(F.collect_list(F.struct("rank", F.substring(text, 1, MODEL_CHARS).alias("t"), "record_id"))).alias("items"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ask = load()
         for b in batches:
             rows = []
             for r in b.itertuples():
@@ -72,5 +73,6 @@ def model_grades(hits: DataFrame, ask: Callable[[str, list[str]], str], query: s
                     rows.append((r.query_id, item["record_id"], s))
             yield pd.DataFrame(rows, columns=["query_id", "record_id", "rerank_score"])
 
-    grades = grouped.mapInPandas(run, "query_id string, record_id string, rerank_score double")
+    kinds = [f"{c} {hits.schema[c].dataType.simpleString()}" for c in ("query_id", "record_id")]
+    grades = grouped.select("query_id", "q", "items").mapInPandas(run, f"{', '.join(kinds)}, rerank_score double")
     return hits.drop("rerank_score").join(grades, ["query_id", "record_id"])

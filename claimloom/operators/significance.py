@@ -7,8 +7,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 RESAMPLES, SEED, LEVEL = 10_000, 7, 0.05
 
@@ -78,22 +80,36 @@ def compare_systems(per_query: DataFrame, metric: str, baseline: str, test: str
     return paired_differences(per_query, metric, baseline).groupBy("system").applyInPandas(group, schema)
 
 
+def summary(r) -> str:
+    """One comparison as a line."""
+    return f"{r.metric:<12} {r.system_a} {r.mean_a:.4f} vs {r.system_b} {r.mean_b:.4f}  delta={r.delta:+.4f}  p={r.p_value:.4f}{'*' if r.significant else ' '}"
+
+
 def significance_table(rows: list) -> str:
-    lines = [f"{'metric':<14}{'system':<20}{'baseline':<20}{'delta':>9}{'p':>9}{'n':>6}"]
-    lines += [f"{r.metric:<14}{r.system_a:<20}{r.system_b:<20}{r.delta:>+9.4f}{r.p_value:>9.4f}{r.n:>6}{' *' if r.significant else ''}" for r in rows]
-    return "\n".join(lines)
+    """What was tested, and a line for each comparison."""
+    if not rows:
+        return "(no comparisons)"
+    return "\n".join([f"paired {rows[0].test} test, two-sided, n={rows[0].n} queries (* = p < {LEVEL})", "-" * 78, *map(summary, rows)])
+
+
+def comparison_table(rows: list, metrics: list[str], latency: dict[str, float] | None = None) -> str:
+    """Fixed-width table of macro-averages, a line a system, with the median latency where it is known.
+
+    A last line gives the ceilings of recall, which few hits and many relevant records put below 1.
+    """
+    head = f"{'system':<20}" + "".join(f"{m:>18}" for m in metrics) + (f"{'P50 ms':>10}" if latency else "")
+    lines = [head, "-" * len(head)]
+    lines += [f"{r['system']:<20}" + "".join(f"{r[m]:>18.4f}" for m in metrics) + (f"{latency.get(r['system'], 0.0):>10.1f}" if latency else "") for r in rows]
+    ceilings = [f"recall@{k} max {rows[0][f'recall_ceiling@{k}']:.3f}" for k in (10, 50) if rows and f"recall_ceiling@{k}" in rows[0].asDict()]
+    return "\n".join([*lines, *(["", "recall ceilings: " + ", ".join(ceilings)] if ceilings else [])])
 
 
-def comparison_table(rows: list, metrics: list[str]) -> str:
-    """Fixed-width table of macro-averages, a line a system."""
-    lines = [f"{'system':<20}" + "".join(f"{m:>16}" for m in metrics)]
-    lines += [f"{r['system']:<20}" + "".join(f"{r[m]:>16.4f}" for m in metrics) for r in rows]
-    return "\n".join(lines)
+@F.arrow_udf(StringType())
+def _inverse(rank: pa.Array) -> pa.Array:
+    """1 / rank to six digits; the double decides where its decimal form is a tie, which no built-in format does."""
+    return pa.array([None if r is None else f"{1 / r:.6f}" for r in rank.to_pylist()], pa.string())
 
 
 def trec_run(run: DataFrame, name: str) -> DataFrame:
     """Lines `query Q0 record rank 1/rank name`, as evaluation tools read them."""
-    score = F.format_string("%.6f", F.lit(1.0) / F.col("rank"))
-    for r in (128 * 5**k for k in range(6)):  # where six digits are a tie the doubles decide, not their decimal form
-        score = F.when(F.col("rank") == r, f"{1 / r:.6f}").otherwise(score)
-    return run.select("query_id", "rank", F.format_string("%s Q0 %s %d %s %s", "query_id", "record_id", F.col("rank").cast("long"), score, F.lit(name)).alias("line"))
+    return run.select("query_id", "rank", F.format_string("%s Q0 %s %d %s %s", "query_id", "record_id", F.col("rank").cast("long"), _inverse("rank"), F.lit(name)).alias("line"))

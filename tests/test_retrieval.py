@@ -108,7 +108,7 @@ def test_rerank_keeps_candidates(spark):
     same = rerank.rerank(hits, rerank.identity_score()).orderBy("rank").collect()
     assert [r.record_id for r in same] == list("abcde") and [r.rerank_score for r in same] == [5, 4, 3, 2, 1]
     assert [r.record_id for r in rerank.rerank(hits, rerank.overlap_score()).orderBy("rank").collect()] == list("cabde")
-    graded = rerank.model_grades(hits, lambda q, texts: '[{"id": 1, "score": 3}, {"id": 77, "score": 9}]')
+    graded = rerank.model_grades(hits, lambda: lambda q, texts: '[{"id": 1, "score": 3}, {"id": 77, "score": 9}]')
     assert {r.record_id: r.rerank_score for r in graded.collect()} == {"a": 1.0, "b": 3.0, "c": 1.0, "d": 1.0, "e": 1.0}
     assert rerank.parse_grades("no json", 2) == [1.0, 1.0]
     load = lambda: lambda pairs: [len(t) for _, t in pairs]
@@ -128,3 +128,68 @@ def test_engine(spark, docs):
     assert full.hits(queries(spark, "hub"), method="bm25").where("bm25_rank IS NOT NULL").count() == 0
     timer = StageTimer()
     assert timer.run("retrieve", lambda: 3) == 3 and set(timer.report()) == {"retrieve", "total"}
+
+
+def engine_of(spark):
+    from claimloom.plans.engine import hashing_engine
+
+    rows = [(f"P{i}:claim:1", f"P{i}", "claim", f"a tyre with groove {i} and fibres", f"TIRE {i % 3}", f"abstract {i}", "B60C", "B60C", 1) for i in range(12)]
+    schema = "record_id string, patent_id string, record_type string, text string, title string, abstract string, classification_raw string, classification_subclass string, claim_number int"
+    return hashing_engine(spark.createDataFrame(rows, schema), synonyms={"tyre": "tire", "fibre": "fiber"}, scorer="overlap")
+
+
+def test_engine_stages_and_requests(spark):
+    engine = engine_of(spark)
+    queries = spark.createDataFrame([("q1", "groove 7"), ("q2", "tire fiber")], "query_id string, text string")
+    out = engine.timed_search(queries, "hybrid_reranked", 5, 10)
+    assert set(out.timings_ms) == {"embed", "retrieve", "rerank", "aggregate", "total"} and abs(sum(v for k, v in out.timings_ms.items() if k != "total") - out.timings_ms["total"]) < 0.1
+    assert sorted(map(tuple, out.hits.select("query_id", "record_id", "rank").collect())) == sorted(map(tuple, engine.hits(queries, "hybrid_reranked", 5, 10).select("query_id", "record_id", "rank").collect()))
+    served = engine.served_patents(out.patents).first()
+    assert served.supporting_count >= len(served.supporting)
+    assert set(engine.timed_search(queries, "bm25").timings_ms) == {"retrieve", "aggregate", "total"}
+    assert engine.health()["records"] == 12 and "hybrid_reranked" in engine.health()["methods"]
+    for text in ("", "x" * 8001, None):
+        with pytest.raises(ValueError):
+            engine.hits(spark.createDataFrame([("q", text)], "query_id string, text string"), "bm25")
+    engine.hits(spark.createDataFrame([("q", "x" * 8000)], "query_id string, text string"), "bm25")
+    # the filter's keyword is analysed with the engine's synonyms, though none were given with it
+    assert engine.hits(queries, "bm25", 20, filters=Filters(title_keyword="tyre")).count() > 0
+
+
+def test_ties_are_cut_by_id():
+    import numpy as np
+    import pyarrow as pa
+
+    from claimloom.operators.lexical import best_k
+
+    rng = np.random.default_rng(2)
+    s = rng.integers(0, 3, (20, 50)).astype(float)
+    ids = pa.array([f"r{i:02d}" for i in rng.permutation(50)])
+    i, j = best_k(s, 7, ids, 0.0)
+    names = ids.to_pylist()
+    for q in range(20):
+        want = sorted((-s[q, c], names[c]) for c in range(50) if s[q, c] > 0)[:7]
+        assert sorted((-s[q, c], names[c]) for c in j[i == q]) == want
+
+
+def test_registries(spark):
+    from claimloom.functions import models
+
+    assert models.parse_spec("hashing") == ("hashing", "32") and models.parse_spec("bge-small")[1] == "BAAI/bge-small-en-v1.5"
+    for bad in ("what", "st", "nothing:x", "st:"):
+        with pytest.raises(ValueError):
+            models.parse_spec(bad)
+    hits = spark.createDataFrame([("q", "a tire", f"r{i}", "tire " * i, i + 1) for i in range(13)], "query_id string, query string, record_id string, text string, rank int")
+    assert [r.record_id for r in models.reranker("off")(hits).orderBy(F.desc("rerank_score")).limit(2).collect()] == ["r0", "r1"]
+    models.register_pair_model("toy-pairs", lambda name: lambda pairs: [float(len(t)) for _, t in pairs])
+    assert models.reranker("toy-pairs:x")(hits).orderBy(F.desc("rerank_score")).first().record_id == "r12"
+    models.register_grader("toy-grades", lambda name: lambda q, texts: '[{"id": 2, "score": 3}]')
+    assert sorted(r.record_id for r in models.reranker("toy-grades:x")(hits).where("rerank_score = 3").collect()) == ["r12", "r2"]
+    for bad in ("what", "cross:x", "ltr"):
+        with pytest.raises(ValueError):
+            models.reranker(bad)
+    seen = []
+    models.register_loader("bge-toy", lambda name: lambda texts: [[float(len(t))] for t in texts])
+    for queries in (False, True):
+        seen.append(hits.limit(1).select(models.embedder("bge-toy:bge-x", queries=queries)(F.lit("abc")).alias("v")).first().v[0])
+    assert seen == [3.0, 3.0 + len(models.QUERY_PREFIX)]
