@@ -118,6 +118,11 @@ def content_hash(c: Column) -> Column:
     return F.sha2(c, 256)
 
 
+def seeded_hash(c: Column, seed: int) -> Column:
+    """A number below 2^60 that depends on the text and the seed only, and that any engine with MD5 can recompute."""
+    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), c)), 1, 15), 16, 10).cast("bigint")
+
+
 def hashing_embedding(c: Column, dimension: int = 32) -> Column:
     """A deterministic stand-in for an embedding model: SHA-256 bytes, repeated to the dimension, of length one."""
     digest = F.sha2(F.coalesce(c, F.lit("")), 256)

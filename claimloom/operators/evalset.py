@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from claimloom.functions.text import lexical_overlap
+from claimloom.functions.text import lexical_overlap, seeded_hash
 
 
 def build_eval_set(records: DataFrame, n_queries: int = 60, seed: int = 13, min_records: int = 2) -> DataFrame:
@@ -21,10 +21,11 @@ def build_eval_set(records: DataFrame, n_queries: int = 60, seed: int = 13, min_
     grade = F.when(F.col("record_type") == "claim", F.when(F.col("is_independent"), 3).otherwise(2)).when(F.col("record_type").isin("abstract", "summary"), 2).otherwise(1)
     per = rows.groupBy("patent_id").agg(F.count("*").alias("n"), F.max("abstract").alias("abstract"))
     eligible = per.where((F.col("n") >= min_records) & (F.coalesce("abstract", F.lit("")) != ""))
-    chosen = eligible.orderBy(F.xxhash64("patent_id", F.lit(seed)), "patent_id").limit(n_queries)
-    chosen = chosen.withColumn("no", F.row_number().over(Window.orderBy(F.xxhash64("patent_id", F.lit(seed)), "patent_id")) - 1)  # n_queries rows
+    drawn = seeded_hash(F.col("patent_id"), seed)
+    chosen = eligible.orderBy(drawn, "patent_id").limit(n_queries)
+    chosen = chosen.withColumn("no", F.row_number().over(Window.orderBy(drawn, "patent_id")) - 1)  # n_queries rows
     graded = rows.join(F.broadcast(chosen.select("patent_id", "no")), "patent_id").select("patent_id", "no", "record_id", "record_type", "text", "is_independent", grade.alias("grade"))
-    claim = graded.where("is_independent").groupBy("patent_id", "no").agg(F.min_by(F.struct("record_id", "text"), F.xxhash64("record_id", F.lit(seed))).alias("c"))
+    claim = graded.where("is_independent").groupBy("patent_id", "no").agg(F.min_by(F.struct("record_id", "text"), F.struct(seeded_hash(F.col("record_id"), seed), "record_id")).alias("c"))
     queries = chosen.select("patent_id", F.format_string("q%03da", "no").alias("query_id"), F.col("abstract").alias("text"), F.lit("abstract_to_claim").alias("query_type"), F.lit(None).cast("string").alias("own"))
     queries = queries.unionByName(claim.select("patent_id", F.format_string("q%03dc", "no").alias("query_id"), F.col("c.text").alias("text"), F.lit("claim_to_patent").alias("query_type"), F.col("c.record_id").alias("own")))
     relevant = queries.join(graded.select("patent_id", "record_id", "record_type", "grade"), "patent_id").where(

@@ -7,7 +7,7 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from claimloom.functions.text import feature_tokens
+from claimloom.functions.text import feature_tokens, seeded_hash
 from claimloom.operators.fusion import RRF_K
 from claimloom.session import ensure_checkpoint_dir
 
@@ -53,18 +53,18 @@ def usable_rows(feature_rows: DataFrame) -> DataFrame:
 
 def split_by_patent(rows: DataFrame, test_fraction: float = 0.25, seed: int = 17) -> DataFrame:
     """Rows with split train or test; a patent is in one only. The cut is at max(1, int(n * (1 - fraction))) patents in hash order."""
-    h = F.xxhash64("patent_id", F.lit(seed))
+    h = seeded_hash(F.col("patent_id"), seed)
     patents = rows.select("patent_id").where("patent_id IS NOT NULL").distinct().select(h.alias("h"))
     edge = nth_least(patents, "h", lambda n: max(1, int(n * (1 - test_fraction))))
     return rows.where("patent_id IS NOT NULL").withColumn("split", F.when(h <= F.lit(edge), "train").otherwise("test"))
 
 
 def nth_least(values: DataFrame, column: str, which) -> int | None:
-    """The which(n)-th least of n 64-bit numbers, or None of none: two counts by ranges, then one range is looked at.
+    """The which(n)-th least of n numbers of 60 bits, or None of none: two counts by ranges, then one range is looked at.
 
     The numbers are hashes, so that ranges of their leading bits are even; no task sorts more than a range.
     """
-    top = F.shiftright(column, 48)
+    top = F.shiftright(column, 44)
     per = {r.t: r.n for r in values.groupBy(top.alias("t")).agg(F.count("*").alias("n")).collect()}  # at most 65,536 rows
     n = sum(per.values())
     if not n:

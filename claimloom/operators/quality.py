@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimloom.functions.text import is_blank
@@ -10,13 +10,8 @@ from claimloom.functions.text import is_blank
 REQUIRED = ["title", "doc_number", "abstract", "detailed_description", "claims", "classification"]
 
 
-def validate(raw: DataFrame) -> DataFrame:
-    """(patent_id, field, issue, severity, file, position) of raw records.
-
-    raw: the required fields as columns (text fields string, claims and detailed_description array<string>), present
-    (array of the field names that the record had), file and position.
-    """
-    pid = F.when(F.coalesce("doc_number", F.lit("")) != "", F.col("doc_number")).otherwise("<unknown>")
+def _found(raw: DataFrame) -> list[Column]:
+    """For each thing that can be wrong with a record, a struct (field, issue, severity) or null."""
     hollow = lambda c: ~F.exists(F.coalesce(c, F.array().cast("array<string>")), lambda x: ~is_blank(x))
 
     def issue(cond, field: str, text: str, severity: str):
@@ -27,10 +22,25 @@ def validate(raw: DataFrame) -> DataFrame:
     found += [issue(is_blank(F.col(f)), f, "blank", "warning") for f in ("title", "abstract", "classification")]
     found.append(issue(hollow("claims"), "claims", "no non-blank claims", "error"))
     found.append(issue(hollow("detailed_description"), "detailed_description", "all paragraphs blank", "warning"))
-    each = raw.select(pid.alias("patent_id"), "file", "position", F.explode(F.array_compact(F.array(*found))).alias("i"))
+    return found
+
+
+def validate(raw: DataFrame) -> DataFrame:
+    """(patent_id, field, issue, severity, file, position) of raw records.
+
+    raw: the required fields as columns (text fields string, claims and detailed_description array<string>), present
+    (array of the field names that the record had), file and position.
+    """
+    pid = F.when(F.coalesce("doc_number", F.lit("")) != "", F.col("doc_number")).otherwise("<unknown>")
+    each = raw.select(pid.alias("patent_id"), "file", "position", F.explode(F.array_compact(F.array(*_found(raw)))).alias("i"))
     return each.select("patent_id", "i.field", "i.issue", "i.severity", "file", "position")
 
 
+def without_errors(raw: DataFrame) -> DataFrame:
+    """Raw records of which nothing is wrong but for warnings; what is wrong is seen in the record itself."""
+    return raw.where(~F.exists(F.array_compact(F.array(*_found(raw))), lambda i: i["severity"] == "error"))
+
+
 def duplicates(raw: DataFrame) -> DataFrame:
     """Later records of a number already seen in the corpus, whether or not the first was itself rejected."""
     w = Window.partitionBy("doc_number").orderBy("file", "position")
@@ -38,11 +48,6 @@ def duplicates(raw: DataFrame) -> DataFrame:
     return seen.select(F.col("doc_number").alias("patent_id"), F.lit("doc_number").alias("field"), F.lit("duplicate across corpus").alias("issue"), F.lit("error").alias("severity"), "file", "position")
 
 
-def accepted(raw: DataFrame, issues: DataFrame) -> DataFrame:
-    """Records without an error."""
-    return raw.join(issues.where("severity = 'error'").select("file", "position").distinct(), ["file", "position"], "left_anti")
-
-
 def table_issues(patents: DataFrame) -> DataFrame:
     """(patent_id, field, issue, severity) of a typed patents table."""
     raw = patents.select(

@@ -13,6 +13,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 RESAMPLES, SEED, LEVEL = 10_000, 7, 0.05
+PRIME = (1 << 31) - 1
+
+
+def resample(block: np.ndarray, n: int, seed: int) -> np.ndarray:
+    """The rows drawn for the resamples of a block: n numbers below n for each, from integer arithmetic that SQL can repeat."""
+    x = ((block[:, None] + 1) * 7919 + (np.arange(n, dtype=np.int64)[None, :] + 1) * 104_729 + seed) % PRIME
+    for add in (12_345, 678_901, 2_345_678):
+        x = (x * x + add) % PRIME * 48_271 % PRIME
+    return x % n
 
 
 def paired_bootstrap(a: list[float], b: list[float], resamples: int = RESAMPLES, seed: int = SEED) -> float:
@@ -22,10 +31,9 @@ def paired_bootstrap(a: list[float], b: list[float], resamples: int = RESAMPLES,
     d = np.asarray(a, float) - np.asarray(b, float)
     if not len(d) or abs(d.mean()) == 0.0:
         return 1.0
-    rng = np.random.default_rng(seed)
     centred, extreme, block = d - d.mean(), 0, max(1, 2_000_000 // len(d))
     for i in range(0, resamples, block):
-        means = centred[rng.integers(0, len(d), (min(block, resamples - i), len(d)))].mean(axis=1)
+        means = centred[resample(np.arange(i, min(i + block, resamples), dtype=np.int64), len(d), seed)].mean(axis=1)
         extreme += int((np.abs(means) >= abs(d.mean())).sum())
     return (extreme + 1) / (resamples + 1)
 

@@ -8,7 +8,7 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimloom.operators.quality import accepted, duplicates, validate
+from claimloom.operators.quality import duplicates, validate, without_errors
 
 PATTERN = "patents_*.json"
 _FIELDS = ["title", "doc_number", "abstract", "classification", "filename", "bibtex"]
@@ -53,15 +53,24 @@ def _list(field: str) -> Column:
     return F.when(kind.startswith("ARRAY"), F.array_compact(elements)).when(kind == "VOID", none).otherwise(one)
 
 
-def raw_records(spark: SparkSession, path: str) -> DataFrame:
+def read_files(spark: SparkSession, path: str) -> DataFrame:
+    """(file, value): the corpus files, whole, as one malformed element must not void the others. No file raises CorpusError."""
+    if "://" not in path and not glob.glob(os.path.join(path, PATTERN)):
+        raise CorpusError(f"no {PATTERN} files in {path}")
+    if "://" in path:
+        make = spark._jvm.org.apache.hadoop.fs.Path
+        where = make(f"{path.rstrip('/')}/{PATTERN}")
+        if not where.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(where):
+            raise CorpusError(f"no {PATTERN} files in {path}")
+    return spark.read.text(f"{path.rstrip('/')}/{PATTERN}", wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value")
+
+
+def parse_files(files: DataFrame) -> DataFrame:
     """One row a record object: its fields, which of them were present, file and position.
 
-    Files are read whole, as one malformed element must not void the others; a file that isn't a JSON array raises
-    CorpusError with its name. Elements that aren't objects are skipped.
+    A file that isn't a JSON array raises CorpusError with its name. Elements that aren't objects are skipped.
     """
-    if "://" not in path and not glob.glob(os.path.join(path, PATTERN)):
-        raise CorpusError(f"no {PATTERN} files in {path}")
-    files = spark.read.text(os.path.join(path, PATTERN), wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.expr("try_parse_json(value)").alias("doc"))
+    files = files.select("file", F.expr("try_parse_json(value)").alias("doc"))
     bad = files.where(F.col("doc").isNull() | ~F.coalesce(F.schema_of_variant("doc"), F.lit("")).startswith("ARRAY")).select("file", F.schema_of_variant("doc").alias("kind")).limit(1).collect()
     if bad:
         raise CorpusError(f"{bad[0].file}: " + (f"expected a list, found {bad[0].kind}" if bad[0].kind else "not valid JSON"))
@@ -71,11 +80,22 @@ def raw_records(spark: SparkSession, path: str) -> DataFrame:
     return objects.select("file", "position", *[_scalar(f).alias(f) for f in _FIELDS], *[_list(f).alias(f) for f in _LISTS], present.alias("present"), F.to_json("v").alias("source_json"))
 
 
+def raw_records(spark: SparkSession, path: str) -> DataFrame:
+    return parse_files(read_files(spark, path))
+
+
 def load_corpus(spark: SparkSession, path: str, skip_errors: bool = True) -> tuple[DataFrame, DataFrame]:
     """(patents, issues) of a corpus; records with an error are left out of patents if skip_errors."""
-    raw = raw_records(spark, path)
-    issues = validate(raw).unionByName(duplicates(raw))
-    kept = accepted(raw, issues) if skip_errors else raw
+    return typed_corpus(raw_records(spark, path), skip_errors)
+
+
+def typed_corpus(raw: DataFrame, skip_errors: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(patents, issues) of raw records. A record's own issues are found in the pass that reads it; only numbers are shuffled, for the duplicates."""
+    again = duplicates(raw)
+    issues = validate(raw).unionByName(again)
+    kept = raw
+    if skip_errors:
+        kept = without_errors(raw).join(again.select("file", "position"), ["file", "position"], "left_anti")
     text = lambda c: F.coalesce(F.col(c), F.lit(""))
     patents = kept.select(
         F.col("doc_number").alias("patent_id"), text("title").alias("title"), text("abstract").alias("abstract"), text("classification").alias("classification_raw"), F.col("claims").alias("claims_raw"),

@@ -49,8 +49,16 @@ def write_eval_set(queries: DataFrame, notes: dict, path: str) -> None:
             f.write(row.j + "\n")
 
 
+def eval_set_lines(queries: DataFrame) -> DataFrame:
+    """(value): a query a line, as the file holds them."""
+    return queries.select(F.to_json(F.struct(*queries.columns)).alias("value"))
+
+
 def read_eval_set(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
-    lines = spark.read.text(path)
+    return parse_eval_set(spark.read.text(path))
+
+
+def parse_eval_set(lines: DataFrame) -> tuple[DataFrame, dict]:
     head = lines.where(F.col("value").startswith('{"_notes"')).limit(1).collect()
     body = lines.where((F.trim("value") != "") & ~F.col("value").startswith('{"_notes"'))
     return body.select(F.from_json("value", _QUERY).alias("q")).select("q.*"), json.loads(head[0].value)["_notes"] if head else {}
