@@ -47,14 +47,14 @@ def main() -> None:
     table = core._dense_records(spark, DIR).repartition(int(CPUS)).persist()  # the index's shards
     size = table.count()
     began = time.perf_counter()
-    index = lexical.build_index(table).persist()
+    index = lexical.build_index(table, synonyms=core.SYNONYMS).persist()
     took["index_build"] = round(time.perf_counter() - began, 3)
     per_second["index_build_records"] = size / took["index_build"]
 
     queries, vectors = core._eval(spark, DIR).persist(), core._vectors(spark, DIR).persist()
     asked, known = queries.count(), vectors.count()
     narrow = Filters(classification_prefix="B60", record_types=["claim"])
-    words = lambda f=None: lexical.bm25_search(index, queries, 50, f)
+    words = lambda f=None: lexical.bm25_search(index, queries, 50, f, synonyms=core.SYNONYMS)
     near = lambda f=None: dense.dense_search(table, vectors, 50, f)
     words().count()
     both = fusion.fuse(words(), near(), 50).join(table.select("record_id", "patent_id", "text"), "record_id").join(queries.select("query_id", "text").withColumnRenamed("text", "query"), "query_id")

@@ -70,7 +70,8 @@ def analyze(c: Column, synonyms: dict[str, str] | None = None, stem: bool = True
     terms = tokens(c)
     if synonyms:
         table = F.create_map(*[F.lit(x) for pair in sorted(synonyms.items()) for x in pair])
-        terms = F.transform(terms, lambda t: F.coalesce(F.try_element_at(table, t), t))
+        # a lookup in the map passes all its keys; most terms are none of them, which a set tells at once
+        terms = F.transform(terms, lambda t: F.when(t.isin(sorted(synonyms)), F.try_element_at(table, t)).otherwise(t))
     terms = F.transform(terms, lambda t: F.regexp_replace(t, "['’]s$", ""))
     terms = F.filter(terms, lambda t: ~t.isin(STOP_WORDS) & (t != ""))
     return stem_all(terms) if stem else terms

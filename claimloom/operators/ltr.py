@@ -45,10 +45,17 @@ def label_rows(rows: DataFrame, qrels: DataFrame) -> DataFrame:
 
 
 def usable_rows(feature_rows: DataFrame) -> DataFrame:
-    """Stored rows as columns: ids tidied, repeated rows once, rows of another width or with NaN or without a label left out."""
+    """Stored rows as columns: ids tidied, rows of another width or with NaN or without a label left out.
+
+    Of several rows of a query and record one counts: one with a patent before one without, then the least patent, then
+    the least features and label.
+    """
     tidy = lambda c: F.lower(F.trim(c))
     rows = feature_rows.where((F.size("features") == len(FEATURES)) & (F.col("label") >= 0) & ~F.exists("features", lambda x: F.isnan(x) | x.isNull()))
-    return rows.select(tidy("query_id").alias("query_id"), F.trim("record_id").alias("record_id"), F.when(F.trim("patent_id") != "", tidy("patent_id")).alias("patent_id"), *[F.col("features")[i].alias(n) for i, n in enumerate(FEATURES)], "label").dropDuplicates(["query_id", "record_id"])
+    patent = F.when(F.trim("patent_id") != "", tidy("patent_id"))
+    named = rows.select(tidy("query_id").alias("query_id"), F.trim("record_id").alias("record_id"), F.struct(patent.isNull().alias("lacking"), patent.alias("patent_id"), "features", "label").alias("r"))
+    one = named.groupBy("query_id", "record_id").agg(F.min("r").alias("r"))
+    return one.select("query_id", "record_id", "r.patent_id", *[F.col("r.features")[i].alias(n) for i, n in enumerate(FEATURES)], "r.label")
 
 
 def split_by_patent(rows: DataFrame, test_fraction: float = 0.25, seed: int = 17) -> DataFrame:

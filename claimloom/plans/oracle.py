@@ -315,12 +315,12 @@ SQL["latency_percentiles"] = """WITH m AS (SELECT method, (epoch_us(logged_at) -
 p AS (SELECT *, row_number() OVER (PARTITION BY method ORDER BY v) AS i, count(*) OVER (PARTITION BY method) AS n FROM m)
 SELECT method, max(v) FILTER (i = round_even(0.5::DOUBLE * (n - 1), 0) + 1) AS p50, max(v) FILTER (i = round_even(0.95::DOUBLE * (n - 1), 0) + 1) AS p95, round(avg(v), 4) AS mean, count(*) AS n FROM p GROUP BY method"""
 _POOL = "WITH " + _RUN + ", pool AS (SELECT query_id, record_id, list_sort(list(DISTINCT system)) AS found_by, min(rank) AS best_rank FROM run WHERE rank <= {depth} GROUP BY ALL)"
-SQL["pool_candidates"] = _POOL.format(depth=20) + " SELECT * FROM pool"
-SQL["pool_stats"] = _POOL.format(depth=20) + """, z AS (SELECT query_id, count(*) AS size, count_if(len(found_by) > 1) AS multi FROM pool GROUP BY query_id)
+SQL["pool_candidates"] = _POOL.format(depth=50) + " SELECT * FROM pool"
+SQL["pool_stats"] = _POOL.format(depth=50) + """, z AS (SELECT query_id, count(*) AS size, count_if(len(found_by) > 1) AS multi FROM pool GROUP BY query_id)
 SELECT count(*) AS queries, sum(size)::BIGINT AS total_candidates, round(avg(size), 1) AS mean_pool_size, max(size) AS max_pool_size, round(avg(multi), 1) AS mean_found_by_multiple_systems FROM z"""
-SQL["pool_unjudged"] = _POOL.format(depth=20) + """, u AS (SELECT * FROM pool ANTI JOIN (SELECT * FROM qr WHERE grade > 0) USING (query_id, record_id))
+SQL["pool_unjudged"] = _POOL.format(depth=50) + """, u AS (SELECT * FROM pool ANTI JOIN (SELECT * FROM qr WHERE grade > 0) USING (query_id, record_id))
 SELECT query_id, record_id, ((row_number() OVER (PARTITION BY query_id ORDER BY best_rank, record_id) - 1) // 10)::INT AS batch FROM u"""
-SQL["merge_qrels"] = _POOL.format(depth=5) + """, j AS (SELECT query_id, record_id, best_rank % 4 AS grade FROM pool)
+SQL["merge_qrels"] = _POOL.format(depth=50) + """, j AS (SELECT query_id, record_id, best_rank % 4 AS grade FROM pool)
 SELECT coalesce(j.query_id, qr.query_id) AS query_id, coalesce(j.record_id, qr.record_id) AS record_id, coalesce(j.grade, qr.grade)::INT AS grade
 FROM qr FULL JOIN j ON qr.query_id = j.query_id AND qr.record_id = j.record_id WHERE coalesce(j.grade, qr.grade) > 0"""
 SQL["trec_run"] = f"WITH {_RUN} SELECT query_id, printf('%s Q0 %s %d %.6f hybrid', query_id, record_id, rank, 1.0::DOUBLE / rank) AS line FROM run WHERE system = 'hybrid'"
@@ -374,7 +374,7 @@ x AS (SELECT query_id, i, ('0x' || h[(i % 32) * 2 + 1 : (i % 32) * 2 + 2])::INT
 SELECT query_id, i, round(v / sqrt(sum(v * v) OVER (PARTITION BY query_id)), 9) AS x FROM x"""
 _JOBS = """WITH p AS (SELECT patent_id, min(ingested_at) AS first_at, max(source_file) AS source_file, count(*) AS k, right(patent_id, 2)::INT AS n FROM patents WHERE patent_id IS NOT NULL GROUP BY patent_id),
 j AS (SELECT *, CASE n % 5 WHEN 0 THEN 'FAILED' WHEN 1 THEN 'PENDING' WHEN 2 THEN 'EMBEDDING' ELSE 'COMPLETED' END AS status, epoch_us(first_at) / 1000000.0::DOUBLE AS updated FROM p)"""
-SQL["job_enqueue_decision"] = f"{_JOBS} SELECT patent_id, NOT (status = 'COMPLETED' AND k = 1) AS queue FROM j"
+SQL["job_enqueue_decision"] = f"{_JOBS} SELECT patent_id, NOT (status IN ('COMPLETED', 'FAILED') AND k = 1) AS queue FROM j"
 SQL["job_counts"] = f"{_JOBS} SELECT status, count(*) AS jobs FROM j GROUP BY status"
 SQL["job_summary"] = f"""{_JOBS} SELECT count(*) AS total, count_if(status = 'COMPLETED')::BIGINT AS completed, count_if(status = 'FAILED')::BIGINT AS failed,
   round(100.0::DOUBLE * count_if(status = 'COMPLETED') / count(*), 1) AS percent_complete, coalesce(sum(n) FILTER (status = 'COMPLETED'), 0)::BIGINT AS records_indexed FROM j"""
@@ -383,3 +383,77 @@ SQL["job_claim"] = f"{_JOBS} SELECT patent_id, 'VALIDATING' AS status, 173300000
 SQL["job_reclaim"] = f"{_JOBS} SELECT CASE WHEN status = 'EMBEDDING' AND updated <= 1733000000.0::DOUBLE - 300 THEN 'PENDING' ELSE status END AS status, count(*) AS jobs FROM j GROUP BY 1"
 SQL["event_windows"] = "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS events, round(sum(value), 4) AS total FROM events GROUP BY ALL"
 SQL["distinct_hits"] = "SELECT run_id, count(DISTINCT record_id) AS hits FROM hits WHERE run_id IS NOT NULL AND record_id IS NOT NULL GROUP BY run_id"
+
+
+def _hash(c: str, seed: int) -> str:
+    return f"('0x' || md5('{seed}:' || {c})[1:15])::BIGINT"
+
+
+SQL["engine_search"] = f"""{_BM25}, bt AS ({_top('sc', 50)}), {_dense('true', 50).split('), qv AS (')[0]}), hb AS (SELECT query_id, unnest(range(64))::INT AS i, sha256(text) AS h FROM eval_queries),
+hv AS (SELECT query_id, list(('0x' || h[(i % 32) * 2 + 1 : (i % 32) * 2 + 2])::INT / 255.0::DOUBLE ORDER BY i) AS v FROM hb GROUP BY query_id),
+qv AS (SELECT query_id, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v)))::DOUBLE[64] AS u FROM hv),
+ds AS (SELECT query_id, record_id, round(array_inner_product(qv.u, vec.u), 5) AS score FROM qv, vec), dt AS ({_top('ds', 50)}),
+merged AS (SELECT coalesce(bt.query_id, dt.query_id) AS query_id, coalesce(bt.record_id, dt.record_id) AS record_id, bt.rank AS bm25_rank, dt.rank AS vector_rank FROM bt FULL JOIN dt ON bt.query_id = dt.query_id AND bt.record_id = dt.record_id),
+fused AS (SELECT *, coalesce(1.0::DOUBLE / (60 + bm25_rank), 0) + coalesce(1.0::DOUBLE / (60 + vector_rank), 0) AS score FROM merged),
+hy AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, bm25_rank NULLS LAST, vector_rank NULLS LAST) AS fr FROM fused QUALIFY fr <= 50),
+rr AS (SELECT hy.*, r.text, {_overlap('q.text', 'r.text[1:2000]')} AS v FROM hy JOIN r USING (record_id) JOIN eval_queries q USING (query_id))
+SELECT query_id, record_id, round(v, 4) AS score, round(v, 4) AS rerank_score, bm25_rank, vector_rank, row_number() OVER (PARTITION BY query_id ORDER BY v DESC, fr)::INT AS rank, text[1:400] AS text FROM rr QUALIFY rank <= 10"""
+SQL["engine_patents"] = f"""{_BM25}, bt AS ({_top('sc', 20)}), hp AS (SELECT bt.*, patent_id FROM bt JOIN r USING (record_id)), {_grouped('hp', 4).replace('SELECT query_id, patent_id, round', 'SELECT query_id, patent_id, supporting AS s, round', 1).replace('best, supporting,', 'best, supporting[1:5] AS supporting, len(supporting)::INT AS supporting_count,', 1).replace('supporting AS s, ', '', 1)}"""
+SQL["request_checks"] = """SELECT * FROM (VALUES ('fits', true), ('unknown method', false), ('no reranker', false), ('no embedder', false), ('fewer candidates than results', false), ('too many results', false), ('no results', false), ('empty query', false),
+  ('longest query', true), ('query too long', false), ('prefix too long', false), ('keyword too long', false), ('title too long', false), ('patent too long', false), ('known embedder', true), ('unknown embedder', false), ('known reranker', true), ('unknown reranker', false)) t(request, accepted)"""
+_PRIME = (1 << 31) - 1
+_DRAW = f"((b + 1) * 7919 + i * 104729 + 7) % {_PRIME}"
+for _add in (12_345, 678_901, 2_345_678):
+    _DRAW = f"list_transform([{_DRAW}], lambda x: (x * x + {_add}) % {_PRIME} * 48271 % {_PRIME})[1]"
+_COMPARED = f"""{_PQ}, dd AS (SELECT a.system, a.query_id, a."ndcg@10" AS a, b."ndcg@10" AS b, a."ndcg@10" - b."ndcg@10" AS d FROM pq a JOIN pq b ON b.system = 'bm25' AND a.query_id = b.query_id WHERE a.system <> 'bm25'),
+cp AS (SELECT system, avg(a) AS mean_a, avg(b) AS mean_b, avg(d) AS observed, count(*) AS n, list(d ORDER BY query_id) AS ds FROM dd GROUP BY system)"""
+SQL["compare_systems"] = f"""{_COMPARED}, draws AS (SELECT b, i, {_DRAW} AS x FROM (SELECT unnest(range(10000)) AS b), (SELECT unnest(range(1, (SELECT max(n) FROM cp) + 1)) AS i)),
+means AS (SELECT system, b, avg(ds[x % n + 1] - observed) AS m FROM cp JOIN draws ON i <= n GROUP BY system, b),
+ps AS (SELECT system, (count_if(abs(m) >= abs(observed) - 1e-12) + 1) / 10001.0::DOUBLE AS p FROM means JOIN cp USING (system) GROUP BY system)
+SELECT 'ndcg@10' AS metric, system AS system_a, 'bm25' AS system_b, round(mean_a, 6) AS mean_a, round(mean_b, 6) AS mean_b, round(mean_a - mean_b, 6) AS delta, round(CASE WHEN observed = 0 THEN 1 ELSE p END, 6) AS p_value, n, 'bootstrap' AS test,
+  CASE WHEN observed = 0 THEN false ELSE p < 0.05 END AS significant FROM cp JOIN ps USING (system)"""
+SQL["compare_t"] = f"{_COMPARED} SELECT 'ndcg@10' AS metric, system AS system_a, 'bm25' AS system_b, round(mean_a, 6) AS mean_a, round(mean_b, 6) AS mean_b, round(mean_a - mean_b, 6) AS delta, n, 't' AS test FROM cp"
+SQL["comparison_lines"] = f"""{_PQ}, mn AS (SELECT system, avg("recall@10") AS a, avg("ndcg@10") AS b, avg("mrr@10") AS c, avg("recall_ceiling@10") AS e, avg("recall_ceiling@50") AS f, row_number() OVER (ORDER BY system) AS i FROM pq GROUP BY system)
+SELECT 0 AS no, printf('%-20s%18s%18s%18s', 'system', 'recall@10', 'ndcg@10', 'mrr@10') AS line UNION ALL SELECT 1, repeat('-', 74) UNION ALL SELECT (i + 1)::INT, printf('%-20s%18.4f%18.4f%18.4f', system, a, b, c) FROM mn
+UNION ALL SELECT (max(i) + 2)::INT, '' FROM mn UNION ALL SELECT ((SELECT max(i) FROM mn) + 3)::INT, printf('recall ceilings: recall@10 max %.3f, recall@50 max %.3f', e, f) FROM mn WHERE i = 1"""
+SQL["eval_set"] = f"""{_R}, per AS (SELECT patent_id, count(*) AS n, max(abstract) AS abstract FROM r GROUP BY patent_id),
+ch AS (SELECT patent_id, abstract, row_number() OVER (ORDER BY {_hash('patent_id', 13)}, patent_id) - 1 AS no FROM per WHERE n >= 2 AND coalesce(abstract, '') <> '' QUALIFY no < 60),
+gd AS (SELECT r.patent_id, no, record_id, record_type, text, is_independent, CASE WHEN record_type = 'claim' THEN CASE WHEN is_independent THEN 3 ELSE 2 END WHEN record_type IN ('abstract', 'summary') THEN 2 ELSE 1 END AS grade FROM r JOIN ch USING (patent_id)),
+cl AS (SELECT patent_id, no, record_id, text FROM gd WHERE is_independent QUALIFY row_number() OVER (PARTITION BY patent_id ORDER BY {_hash('record_id', 13)}, record_id) = 1),
+qs AS (SELECT patent_id, printf('q%03da', no) AS query_id, abstract AS text, 'abstract_to_claim' AS query_type, NULL AS own FROM ch UNION ALL SELECT patent_id, printf('q%03dc', no), text, 'claim_to_patent', record_id FROM cl)
+SELECT query_id, qs.text, qs.patent_id AS source_patent_id, query_type, record_id, grade FROM qs JOIN gd USING (patent_id) WHERE CASE WHEN query_type = 'abstract_to_claim' THEN record_type NOT IN ('abstract', 'summary') ELSE record_id <> own END"""
+SQL["eval_set_lines"] = "SELECT query_id, text, source_patent_id, query_type, cardinality(qrels)::INT AS relevant, 13 AS seed FROM eval_queries"
+SQL["paraphrase"] = "SELECT query_id, 'in other words: ' || text AS text, cardinality(qrels)::INT AS relevant FROM eval_queries WHERE length(text) % 2 = 0"
+SQL["judge_pool"] = _POOL.format(depth=50) + " SELECT query_id, record_id, coalesce(grade, greatest(0, least(3, best_rank % 6 - 1)))::INT AS grade FROM pool LEFT JOIN (SELECT * FROM qr WHERE grade > 0) USING (query_id, record_id)"
+SQL["apply_judgements"] = _POOL.format(depth=50) + " SELECT query_id, source_patent_id, record_id, (best_rank % 4)::INT AS grade FROM pool JOIN eval_queries USING (query_id) WHERE best_rank % 4 > 0"
+SQL["first_judgements"] = """WITH c AS (SELECT query_id, record_id, logged_at, max(bm25_rank) % 4 AS grade FROM hits WHERE record_id IS NOT NULL AND logged_at IS NOT NULL AND bm25_rank >= 1 GROUP BY ALL)
+SELECT query_id, record_id, arg_min(grade, logged_at)::INT AS grade FROM c GROUP BY ALL"""
+SQL["rerank_pairs"] = f"{_TOP20}, s AS (SELECT query_id, record_id, t.rank AS fr, length(coalesce(text, '')[1:2000])::DOUBLE AS v FROM t) SELECT query_id, record_id, v AS rerank_score, row_number() OVER (PARTITION BY query_id ORDER BY v DESC, fr)::INT AS rank FROM s QUALIFY rank <= 10"
+SQL["rerank_graded"] = f"{_TOP20} SELECT query_id, record_id, CASE WHEN (rank - 1) % 10 % 2 = 0 THEN length(text[1:1200]) % 4 ELSE 1 END::DOUBLE AS rerank_score FROM t"
+_PREFIXED = "'Represent this sentence for searching relevant passages: ' || text"
+SQL["embed_registered"] = f"SELECT query_id, 0 AS i, length({_PREFIXED})::DOUBLE AS x FROM eval_queries UNION ALL SELECT query_id, 1, (length({_PREFIXED}) - length(replace({_PREFIXED}, 'e', '')))::DOUBLE FROM eval_queries"
+SQL["ltr_split"] = f"""WITH f AS (SELECT lower(trim(query_id)) AS query_id, trim(record_id) AS record_id, min(nullif(lower(trim(patent_id)), '')) AS patent_id FROM feature_rows
+  WHERE len(features) = 16 AND label >= 0 AND len(list_filter(features, lambda x: x IS NULL OR x::VARCHAR LIKE '%nan')) = 0 GROUP BY ALL),
+p AS (SELECT patent_id, row_number() OVER (ORDER BY {_hash('patent_id', 17)}) AS i, count(*) OVER () AS n FROM (SELECT DISTINCT patent_id FROM f WHERE patent_id IS NOT NULL))
+SELECT query_id, record_id, patent_id, CASE WHEN i <= greatest(1, floor(n * 0.75::DOUBLE)) THEN 'train' ELSE 'test' END AS split FROM f JOIN p USING (patent_id)"""
+SQL["job_advance"] = f"{_JOBS} SELECT patent_id, CASE status WHEN 'EMBEDDING' THEN 'INDEXING' ELSE status END AS status, CASE WHEN status = 'EMBEDDING' THEN {1733000000.0}::DOUBLE END AS leased_at, CASE WHEN status = 'EMBEDDING' THEN 'w1' END AS worker_id FROM j"
+SQL["job_outcomes"] = f"""{_JOBS}, o AS (SELECT *, status IN ('PENDING', 'EMBEDDING') AS mine, n % 2 = 1 AS bad, CASE WHEN status = 'FAILED' THEN 3 ELSE n % 4 END AS r FROM j)
+SELECT patent_id, CASE WHEN mine AND NOT bad THEN 'COMPLETED' WHEN mine THEN CASE WHEN r + 1 < 3 THEN 'PENDING' ELSE 'FAILED' END ELSE status END AS status, CASE WHEN mine AND NOT bad THEN 7 WHEN status = 'COMPLETED' THEN n ELSE 0 END::BIGINT AS record_count,
+  CASE WHEN mine AND bad THEN r + 1 ELSE r END::INT AS retry_count, CASE WHEN mine AND bad THEN 2000 WHEN status = 'FAILED' THEN 10 END::INT AS error_chars, NULL::VARCHAR AS worker_id, CASE WHEN mine THEN {1733000000.0}::DOUBLE ELSE updated END AS updated_at FROM o"""
+SQL["job_lookup"] = f"{_JOBS} SELECT patent_id, status, CASE WHEN status = 'FAILED' THEN 3 ELSE n % 4 END::INT AS retry_count FROM j WHERE patent_id = (SELECT min(patent_id) FROM patents)"
+_MADE = SQL["build_records"]
+SQL["ingest_jobs"] = f"""WITH m AS (SELECT patent_id, count(*) AS n FROM ({_MADE}) GROUP BY patent_id), {_P}, g AS (SELECT patent_id, {_hollow('claims_raw')} AS bad FROM p)
+SELECT patent_id, CASE WHEN bad THEN 'FAILED' ELSE 'COMPLETED' END AS status, CASE WHEN bad THEN 0 ELSE n END::BIGINT AS record_count, CASE WHEN bad THEN 3 ELSE 0 END::INT AS retry_count, CASE WHEN bad THEN 'ValueError: validation failed: no non-blank claims' END AS last_error FROM g LEFT JOIN m USING (patent_id)"""
+SQL["ingest_again"] = f"SELECT record_id, text FROM ({_MADE}) WHERE record_type = 'claim'"
+SQL["records_upsert"] = "SELECT DISTINCT record_id, CASE WHEN record_type = 'claim' THEN 'v2 ' || text ELSE text END AS text FROM search_records"
+SQL["records_json"] = f"SELECT DISTINCT {_BARE} FROM search_records"
+_CORPUS = f"""WITH {_P}, c AS (SELECT *, right(patent_id, 2)::INT AS n, printf('patents_a%02d.json', right(patent_id, 2)::INT) AS file, (right(patent_id, 2)::INT % 10 = 3) AS lacking FROM p)"""
+SQL["corpus_patents"] = f"""{_CORPUS} SELECT patent_id, coalesce(title, '') AS title, coalesce(abstract, '') AS abstract, coalesce(classification_raw, '') AS classification_raw, len(list_filter(coalesce(claims_raw, []), lambda x: x IS NOT NULL))::INT AS claims,
+  len(list_filter(coalesce(description_paragraphs, []), lambda x: x IS NOT NULL))::INT AS paragraphs, file AS source_file, NOT {_hollow('description_paragraphs')} AS has_description FROM c WHERE NOT lacking AND NOT {_hollow('claims_raw')}"""
+_SEEN = "(SELECT * FROM c UNION ALL SELECT * REPLACE (replace(file, '_a', '_b') AS file) FROM c WHERE n % 10 = 1)"
+SQL["corpus_issues"] = f"""{_CORPUS}, s AS {_SEEN}, w(field, issue, severity) AS (SELECT 1, 2, 3 WHERE false)
+SELECT patent_id, 'claims' AS field, 'field absent' AS issue, 'error' AS severity, file FROM s WHERE lacking UNION ALL SELECT patent_id, 'claims', 'no non-blank claims', 'error', file FROM s WHERE lacking OR {_hollow('claims_raw')}
+UNION ALL SELECT patent_id, 'title', 'blank', 'warning', file FROM s WHERE {_normal('title')} = '' UNION ALL SELECT patent_id, 'abstract', 'blank', 'warning', file FROM s WHERE {_normal('abstract')} = '' UNION ALL SELECT patent_id, 'classification', 'blank', 'warning', file FROM s WHERE {_normal('classification_raw')} = ''
+UNION ALL SELECT patent_id, 'detailed_description', 'all paragraphs blank', 'warning', file FROM s WHERE {_hollow('description_paragraphs')} UNION ALL SELECT patent_id, 'doc_number', 'duplicate across corpus', 'error', file FROM s WHERE file LIKE '%\\_b%' ESCAPE '\\'"""
+_STATS = ["claims_total", "independent", "dependent", "number_inferred", "multi_fragment", "status_canceled", "status_original_complete", "status_preamble_stripped", "status_rejoined_continuation", "patents_with_out_of_order_numbering"]
+SQL["extraction_report"] = f"WITH z AS ({SQL['reconstruction_stats']}), y AS ({_CLAIMS} SELECT claim_id FROM c GROUP BY claim_id HAVING count(*) > 1) " + " UNION ALL ".join([*[f"SELECT 'claims' AS section, '{c}' AS key, {c}::BIGINT AS value FROM z" for c in _STATS], "SELECT 'claims', 'numbers_given_twice', count(*) FROM y"])

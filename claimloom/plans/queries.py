@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from claimloom.functions import analyzer, text
+from claimloom.functions import analyzer, models, text
 from claimloom.operators import claims, dense, evalset, fusion, jobs, lexical, ltr, metrics, pooling, quality, records, rerank, significance
 from claimloom.operators.filters import Filters
-from claimloom.plans.engine import SearchEngine
-from claimloom.session import read_table
+from claimloom.plans import reports
+from claimloom.plans.engine import SearchEngine, check_request
+from claimloom.session import ensure_checkpoint_dir, read_table
+from claimloom.sources import corpus, files
 from claimloom.streaming import ingest
 
 HIT_FIELDS = ["record_id", "patent_id", "record_type", "title", "text", "classification_raw", "claim_number"]
@@ -207,12 +211,52 @@ def group_runs(spark, d):
 
 
 def engine_search(spark, d):
-    table = _dense_records(spark, d)
-    engine = SearchEngine.over(table, embed=lambda c: text.hashing_embedding(c, 64), scorer=rerank.overlap_score, stem=False)
+    """The whole search: hybrid candidates, of queries embedded by hashing, reranked by the registry's offline stand-in."""
+    engine = SearchEngine.over(_dense_records(spark, d), SYNONYMS, embed=lambda c: text.hashing_embedding(c, 64), scorer="overlap")
     hits = engine.hits(_eval(spark, d), "hybrid_reranked", 10, 50)
     return engine.served(hits).select("query_id", "record_id", "score", "rerank_score", "bm25_rank", "vector_rank", "rank", "text")
 
 
+def engine_patents(spark, d):
+    """Its patents as they are given out."""
+    engine = SearchEngine.over(_dense_records(spark, d), SYNONYMS, embed=lambda c: text.hashing_embedding(c, 64), scorer="overlap")
+    _, patents = engine.search(_eval(spark, d), method="bm25", top_k=20, candidates=20)
+    return engine.served_patents(patents).select("query_id", "patent_id", "score", "best", "supporting", "supporting_count", "rank")
+
+
+def request_checks(spark, d):
+    """What a search accepts, from one request each."""
+    engine = SearchEngine(None, None, embed=lambda c: c)
+    cases = {
+        "fits": lambda: (engine.check("hybrid", 10, 50), check_request("q", Filters(classification_prefix="B60B"))),
+        "unknown method": lambda: engine.check("fuzzy", 10, 50),
+        "no reranker": lambda: engine.check("hybrid_reranked", 10, 50),
+        "no embedder": lambda: SearchEngine(None, None).check("dense", 10, 50),
+        "fewer candidates than results": lambda: engine.check("hybrid", 50, 10),
+        "too many results": lambda: engine.check("bm25", 101, 200),
+        "no results": lambda: engine.check("bm25", 0, 50),
+        "empty query": lambda: check_request(""),
+        "longest query": lambda: check_request("x" * 8000),
+        "query too long": lambda: check_request("x" * 8001),
+        "prefix too long": lambda: check_request("q", Filters(classification_prefix="x" * 17)),
+        "keyword too long": lambda: check_request("q", Filters(title_keyword="x" * 201)),
+        "title too long": lambda: check_request("q", Filters(exact_title="x" * 401)),
+        "patent too long": lambda: check_request("q", Filters(exclude_patent="x" * 33)),
+        "known embedder": lambda: models.parse_spec("bge-small"),
+        "unknown embedder": lambda: models.parse_spec("nothing:x"),
+        "known reranker": lambda: models.reranker("off"),
+        "unknown reranker": lambda: models.reranker("best"),
+    }
+    rows = []
+    for name, run in cases.items():
+        try:
+            run()
+            rows.append((name, True))
+        except ValueError:
+            rows.append((name, False))
+    return spark.createDataFrame(rows, "request string, accepted boolean")
+
+
 def facet_subclass(spark, d):
     return quality.facet(_records(spark, d), "classification_subclass")
 
@@ -258,19 +302,19 @@ def latency_percentiles(spark, d):
 
 
 def pool_candidates(spark, d):
-    return pooling.build_pool(_run(spark, d), 20)
+    return pooling.build_pool(_run(spark, d))
 
 
 def pool_stats(spark, d):
-    return pooling.pool_stats(pooling.build_pool(_run(spark, d), 20))
+    return pooling.pool_stats(pooling.build_pool(_run(spark, d)))
 
 
 def pool_unjudged(spark, d):
-    return pooling.judge_batches(pooling.unjudged(pooling.build_pool(_run(spark, d), 20), metrics.explode_qrels(_eval(spark, d)))).select("query_id", "record_id", "batch")
+    return pooling.judge_batches(pooling.unjudged(pooling.build_pool(_run(spark, d)), metrics.explode_qrels(_eval(spark, d)))).select("query_id", "record_id", "batch")
 
 
 def merge_qrels(spark, d):
-    judged = pooling.build_pool(_run(spark, d), 5).select("query_id", "record_id", (F.col("best_rank") % 4).alias("grade"))
+    judged = pooling.build_pool(_run(spark, d)).select("query_id", "record_id", (F.col("best_rank") % 4).alias("grade"))
     return pooling.merge_qrels(_eval(spark, d).select("query_id", F.explode("qrels").alias("record_id", "grade")), judged)
 
 
@@ -279,7 +323,18 @@ def t_test_terms(spark, d):
 
 
 def compare_systems(spark, d):
-    return significance.compare_systems(_per_query(spark, d), "ndcg@10", "bm25")
+    return _rounded(significance.compare_systems(_per_query(spark, d), "ndcg@10", "bm25"), 6)
+
+
+def compare_t(spark, d):
+    return _rounded(significance.compare_systems(_per_query(spark, d), "ndcg@10", "bm25", "t"), 6).drop("p_value", "significant")
+
+
+def comparison_lines(spark, d):
+    """The table of the systems' means, as it is printed."""
+    rows = metrics.macro_average(_per_query(spark, d)).orderBy("system").collect()
+    lines = significance.comparison_table(rows, ["recall@10", "ndcg@10", "mrr@10"]).split("\n")
+    return spark.createDataFrame(list(enumerate(lines)), "no int, line string")
 
 
 def trec_run(spark, d):
@@ -288,7 +343,44 @@ def trec_run(spark, d):
 
 def eval_set(spark, d):
     q = evalset.build_eval_set(_records(spark, d))
-    return q.select("query_id", "text", "source_patent_id", "query_type", F.size("qrels").alias("relevant"))
+    return q.select("query_id", "text", "source_patent_id", "query_type", F.explode("qrels").alias("record_id", "grade"))
+
+
+def eval_set_lines(spark, d):
+    """Evaluation queries written as lines and read again, behind a line of notes."""
+    head = spark.createDataFrame([('{"_notes": {"seed": 13}}',)], "value string")
+    queries, notes = files.parse_eval_set(files.eval_set_lines(_eval(spark, d)).unionByName(head))
+    return queries.select("query_id", "text", "source_patent_id", "query_type", F.size("qrels").alias("relevant"), F.lit(notes["seed"]).alias("seed"))
+
+
+def paraphrase(spark, d):
+    """Queries rewritten by a stand-in that fails on every text of odd length."""
+
+    def rewrite(t: str) -> str:
+        if len(t) % 2:
+            raise ValueError("odd")
+        return f"in other words: {t}"
+
+    return evalset.paraphrase(_eval(spark, d), rewrite).select("query_id", "text", F.size("qrels").alias("relevant"))
+
+
+def judge_pool(spark, d):
+    """Structural grades where there are any, else an assessor's, cut to 0 to 3."""
+    pool = pooling.build_pool(_run(spark, d))
+    return pooling.judge_pool(pool, metrics.explode_qrels(_eval(spark, d)), F.col("best_rank") % 6 - 1)
+
+
+def apply_judgements(spark, d):
+    judged = pooling.build_pool(_run(spark, d)).select("query_id", "record_id", (F.col("best_rank") % 4).alias("grade"))
+    q = pooling.apply_judgements(_eval(spark, d), judged, keep_structural=False)
+    return q.select("query_id", "source_patent_id", F.explode("qrels").alias("record_id", "grade"))
+
+
+def first_judgements(spark, d):
+    """Of a cache that only grows, the first grade of each pair."""
+    h = read_table(spark, d, "hits").where("record_id IS NOT NULL AND logged_at IS NOT NULL AND bm25_rank >= 1")
+    cache = h.groupBy("query_id", "record_id", "logged_at").agg((F.max("bm25_rank") % 4).alias("grade"))
+    return pooling.first_judgements(cache, "logged_at")
 
 
 def overlap_report(spark, d):
@@ -342,6 +434,34 @@ def rerank_overlap(spark, d):
     return _rounded(rerank.rerank(lexical.top_k(hits, 20), rerank.overlap_score(), 10).select("query_id", "record_id", "rerank_score", "rank"))
 
 
+def _first_hits(spark, d) -> DataFrame:
+    hits = _ranked_hits(spark, d).where("score IS NOT NULL").select("query_id", "record_id", "score", "query", "text")
+    return lexical.top_k(hits, 20)
+
+
+def rerank_pairs(spark, d):
+    """A pair model behind the registry; the stand-in scores a pair by the length of its text, as far as it is read."""
+    models.register_pair_model("length", lambda name: lambda pairs: [float(len(t)) for _, t in pairs])
+    return rerank.rerank(models.reranker("length:pairs")(_first_hits(spark, d)), "rerank_score", 10).select("query_id", "record_id", "rerank_score", "rank")
+
+
+def rerank_graded(spark, d):
+    """A grading model behind the registry, asked about ten texts at a time; the stand-in leaves every other one out."""
+
+    def ask(query: str, texts: list[str]) -> str:
+        return json.dumps([{"id": i, "score": len(t) % 4} for i, t in enumerate(texts) if i % 2 == 0] + [{"id": 99, "score": 3}])
+
+    models.register_grader("length-grade", lambda name: ask)
+    return models.reranker("length-grade:texts")(_first_hits(spark, d)).select("query_id", "record_id", "rerank_score")
+
+
+def embed_registered(spark, d):
+    """Vectors of a registered provider, with the query prefix that its family wants."""
+    models.register_loader("bge-letters", lambda name: lambda texts: [[float(len(t)), float(t.count("e"))] for t in texts])
+    v = models.embedder("bge-letters:bge", queries=True)(F.col("text"))
+    return _eval(spark, d).select("query_id", F.posexplode(v).alias("i", "x")).withColumn("x", F.col("x").cast("double"))
+
+
 def lexical_overlap(spark, d):
     doc = _records(spark, d, ["record_id", "text"]).withColumnRenamed("text", "doc")
     q = _eval(spark, d).select("query_id", F.col("text").alias("query"), F.explode("qrels").alias("record_id", "grade"))
@@ -393,6 +513,93 @@ def job_reclaim(spark, d):
     return jobs.counts(jobs.reclaim_stale(_jobs(spark, d), NOW))
 
 
+def job_advance(spark, d):
+    """Embedding jobs at the next stage, their leases renewed."""
+    j = _jobs(spark, d)
+    after = jobs.advance(j, j.where("status = 'EMBEDDING'").select("patent_id"), "INDEXING", NOW)
+    return after.select("patent_id", "status", "leased_at", "worker_id")
+
+
+def job_outcomes(spark, d):
+    """Pending jobs of even number completed, the others failed once more."""
+    j = _jobs(spark, d)
+    n = F.expr("cast(substring(patent_id, -2) AS int)")
+    out = j.where("status IN ('PENDING', 'EMBEDDING')").select("patent_id", F.lit(7).alias("record_count"), F.when(n % 2 == 1, F.repeat(F.lit("E"), 2100)).alias("error"))
+    after = jobs.apply_outcomes(j, out, NOW)
+    return after.select("patent_id", "status", "record_count", "retry_count", F.length("last_error").alias("error_chars"), "worker_id", "updated_at")
+
+
+def job_lookup(spark, d):
+    first = read_table(spark, d, "patents").agg(F.min("patent_id")).first()[0]
+    return jobs.get(_jobs(spark, d), first).select("patent_id", "status", "retry_count")
+
+
+def _folder(spark) -> str:
+    """A new folder in the shared one, for queries that write tables and read them again."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{uuid.uuid4().hex}"
+
+
+def ingest_jobs(spark, d):
+    """The job table after all deliveries were ingested, through leases, stages and retries."""
+    where = _folder(spark)
+    table, made = ingest.JobTable(spark, f"{where}/jobs"), ingest.RecordTable(spark, f"{where}/records")
+    ingest.ingest_batch(read_table(spark, d, "patents"), table, made.append, "1")
+    return table.read().select("patent_id", "status", "record_count", "retry_count", "last_error")
+
+
+def ingest_again(spark, d):
+    """The records of the latest delivery of each patent, after the first deliveries were ingested before."""
+    where = _folder(spark)
+    table, made = ingest.JobTable(spark, f"{where}/jobs"), ingest.RecordTable(spark, f"{where}/records")
+    p = read_table(spark, d, "patents")
+    first = p.join(p.groupBy("patent_id").agg(F.min("ingested_at").alias("ingested_at")), ["patent_id", "ingested_at"], "left_semi")
+    ingest.ingest_batch(first, table, made.append, "1")
+    ingest.ingest_batch(p, table, made.append, "1")
+    return made.read().where("record_type = 'claim'").select("record_id", "text")
+
+
+def records_upsert(spark, d):
+    """Claims replaced by a later version of theirs, other records kept."""
+    r = _records(spark, d, ["record_id", "record_type", "text"])
+    new = r.where("record_type = 'claim'").withColumn("text", F.concat(F.lit("v2 "), "text"))
+    return files.upsert_records(r, new).select("record_id", "text")
+
+
+def records_json(spark, d):
+    """Records as JSON lines without null fields, and read again."""
+    r = _records(spark, d)
+    lines = r.select(F.to_json(F.struct(*BARE)).alias("j"))
+    return lines.where(~F.col("j").contains(":null")).select(F.from_json("j", r.schema).alias("r")).select("r.*")
+
+
+def _corpus(spark, d) -> DataFrame:
+    """(file, value): the patents as JSON arrays, with elements that are no records, records repeated in a second file,
+    and records without a field."""
+    n = F.expr("cast(substring(patent_id, -2) AS int)")
+    fields = [F.col("title"), F.col("patent_id").alias("doc_number"), "abstract", F.col("description_paragraphs").alias("detailed_description"), F.col("classification_raw").alias("classification"), "filename", "bibtex"]
+    whole, lacking = F.to_json(F.struct(*fields, F.col("claims_raw").alias("claims")), {"ignoreNullFields": "false"}), F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
+    element = F.when(n % 10 == 3, lacking).otherwise(whole)
+    first = _patents(spark, d).select(F.format_string("patents_a%02d.json", n).alias("file"), "patent_id", element.alias("e"))
+    again = first.where(n % 10 == 1).withColumn("file", F.regexp_replace("file", "_a", "_b"))
+    grouped = first.unionByName(again).groupBy("file").agg(F.array_sort(F.collect_list(F.struct("patent_id", "e"))).alias("es"))
+    return grouped.select("file", F.concat(F.lit('[1, "no record", null, '), F.concat_ws(", ", F.transform("es", lambda x: x["e"])), F.lit(", [2]]")).alias("value"))
+
+
+def corpus_patents(spark, d):
+    patents, _ = corpus.typed_corpus(corpus.parse_files(_corpus(spark, d)))
+    return patents.select("patent_id", "title", "abstract", "classification_raw", F.size("claims_raw").alias("claims"), F.size("description_paragraphs").alias("paragraphs"), "source_file", "has_description")
+
+
+def corpus_issues(spark, d):
+    _, issues = corpus.typed_corpus(corpus.parse_files(_corpus(spark, d)))
+    return issues.select("patent_id", "field", "issue", "severity", "file")
+
+
+def extraction_report(spark, d):
+    return reports.extraction_report(_patents(spark, d))
+
+
 def event_windows(spark, d):
     return _rounded(ingest.event_counts(read_table(spark, d, "events")), 4)
 
@@ -405,10 +612,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         project_fields, filter_exact_title, filter_exclude_patent, normalize_claims, word_counts, claim_segments, claim_numbers, reconstruct_claims, reconstruction_stats, claim_parents, claim_invariant,
-        build_records, chunk_passages, term_statistics, field_statistics, bm25_topk, bm25_filtered, bm25_keyword, bm25_plain, dense_topk, dense_filtered, dense_table, hybrid_topk, hybrid_grouped, group_runs, engine_search,
+        build_records, chunk_passages, term_statistics, field_statistics, bm25_topk, bm25_filtered, bm25_keyword, bm25_plain, dense_topk, dense_filtered, dense_table, hybrid_topk, hybrid_grouped, group_runs, engine_search, engine_patents, request_checks,
         facet_subclass, facet_record_type, corpus_stats, patent_lookup, latest_patents, validate_issues, quality_report, evaluate_queries, evaluate_systems, latency_percentiles, pool_candidates, pool_stats,
-        pool_unjudged, merge_qrels, t_test_terms, compare_systems, trec_run, eval_set, overlap_report, cross_patent, ltr_features, ltr_labels, ltr_usable_rows, ltr_split, ltr_rerank, rerank_identity,
-        rerank_overlap, lexical_overlap, synonym_terms, stem_terms, content_hash, hashing_embed, job_enqueue_decision, job_counts, job_summary, job_failures, job_claim, job_reclaim, event_windows, distinct_hits,
+        pool_unjudged, merge_qrels, t_test_terms, compare_systems, compare_t, comparison_lines, trec_run, eval_set, eval_set_lines, paraphrase, judge_pool, apply_judgements, first_judgements, overlap_report, cross_patent, ltr_features, ltr_labels, ltr_usable_rows, ltr_split, ltr_rerank, rerank_identity,
+        rerank_overlap, rerank_pairs, rerank_graded, embed_registered, lexical_overlap, synonym_terms, stem_terms, content_hash, hashing_embed, job_enqueue_decision, job_counts, job_summary, job_failures, job_claim, job_reclaim, job_advance, job_outcomes, job_lookup, ingest_jobs, ingest_again, records_upsert, records_json, corpus_patents, corpus_issues, extraction_report, event_windows, distinct_hits,
     )
 }
 QUERIES |= {
