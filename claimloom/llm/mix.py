@@ -28,7 +28,7 @@ LABEL_PRIOR = 0.999
 MOST_DOMAINS = 16
 #: The fit ends when twice no domain's total moved by more than this share of its size; the report says if it didn't get
 #: there in so many rounds.
-TOLERANCE, MOST_ROUNDS = 5e-4, 500
+TOLERANCE, MOST_ROUNDS = 1e-3, 500
 HELD_OUT = 10  # one in so many rows of the sample tests the classifier
 _WORD = regex.compile(r"[\p{L}\p{Nd}]+")
 MOST_SOURCES = 10_000
@@ -146,20 +146,20 @@ class _Rows:
         self.size, self.cap, self.coin = (np.asarray(batch.column(i)) for i in (2, 3, 4))
         self.at, self.p = (np.asarray(batch.column(i).flatten()).reshape(len(batch), -1) for i in (5, 6))
 
-    def rates(self, history: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    def rates(self, first: np.ndarray, history: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """Rates after the steps so far, and the point the next step starts from, which carries on the last move (momentum).
 
-        They are replayed from the steps' residuals: nothing is kept for a record between passes.
+        They are replayed from the sources' first rates and the steps' residuals: nothing is kept for a record between passes.
         """
-        rate = start = np.minimum(1.0, self.cap)
+        rate = start = np.minimum(np.where(self.label >= 0, first[self.label], 1.0), self.cap)
         for step, residual in enumerate(history):
             before, rate = rate, np.clip(start - (self.p * residual[self.at]).sum(axis=1), 0.0, self.cap)
             start = rate + step / (step + 3) * (rate - before)
         return rate, start
 
-    def copies(self, history: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    def copies(self, first: np.ndarray, history: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """Rates, and how often each record is taken: the rate rounded up or down by the record's coin."""
-        r, _ = self.rates(history)
+        r, _ = self.rates(first, history)
         return r, np.floor(r) + (self.coin < r - np.floor(r))
 
     def totals(self, amount: np.ndarray, domains: int) -> np.ndarray:
@@ -174,16 +174,16 @@ class _Rows:
 _EXPECTED, _AHEAD, _TAKEN, _REACH, _SIZE, _DOCUMENTS, _PLANNED = range(7)
 
 
-def _pass(batches: Iterator[pa.RecordBatch], domains: int, history: list[np.ndarray], planned: bool = False) -> Iterator[pa.RecordBatch]:
+def _pass(batches: Iterator[pa.RecordBatch], domains: int, first: np.ndarray, history: list[np.ndarray], planned: bool = False) -> Iterator[pa.RecordBatch]:
     """Totals of the domains under the rates so far: a few numbers for each domain and task."""
     out = np.zeros((7, domains))
     for batch in batches:
         if not len(batch):
             continue
         x = _Rows(batch)
-        r, start = x.rates(history)
+        r, start = x.rates(first, history)
         if planned:
-            taken = x.copies(history)[1] * x.size
+            taken = x.copies(first, history)[1] * x.size
             out[_PLANNED] += x.labelled(taken, domains) + x.totals(np.where(x.label < 0, taken, 0.0), domains)
         out[_EXPECTED] += x.totals(r * x.size, domains)
         out[_AHEAD] += x.totals(start * x.size, domains)
@@ -239,10 +239,11 @@ class Mixture:
     def _fit(self) -> None:
         """Projected gradient steps with momentum, each scaled by the domains' sizes: the least-squares operator then has norm 1 at most.
 
+        A source's records start at the rate that brings their own total to its target, as far as their cap lets them.
         history holds the residuals of the steps taken, expected and taken the totals under the rates they lead to.
         """
         domains = len(self.names)
-        self.history: list[np.ndarray] = []
+        self.first, self.history = np.ones(domains), []
         self.moved = 0.0
         scale = before = None
         settled = 0
@@ -254,7 +255,10 @@ class Mixture:
                 all_weight = self.weights.sum()
                 self.total = self.sizes.sum()
                 self.targets = self.total * self.weights / all_weight if all_weight > 0 else np.zeros(domains)
-            else:
+                self.first = self.targets / np.maximum(self.sizes, 1.0)
+                if domains:
+                    continue
+            elif before is not None:
                 self.moved = float((np.abs(self.expected - before) / scale).max(initial=0.0))
                 settled = settled + 1 if self.moved < TOLERANCE else 0
             self.converged = not domains or settled == 2
@@ -264,10 +268,10 @@ class Mixture:
             self.history = [*self.history, (got[_AHEAD] - self.targets) / scale]
 
     def _totals(self, planned: bool = False) -> np.ndarray:
-        domains, history = len(self.names), self.history
+        domains, first, history = len(self.names), self.first, self.history
         out = np.zeros((7, domains))
         if domains:
-            totals = self.rows.mapInArrow(lambda it: _pass(it, domains, history, planned), "kind int, domain int, total double")
+            totals = self.rows.mapInArrow(lambda it: _pass(it, domains, first, history, planned), "kind int, domain int, total double")
             for r in totals.groupBy("kind", "domain").agg(F.sum("total").alias("s")).collect():  # 7 a domain
                 out[r.kind, r.domain] = r.s
         return out
@@ -299,13 +303,13 @@ class Mixture:
 
         copies is the rate, rounded up or down by a hash of the key so that its mean is the rate; it is never above the cap.
         """
-        history, names = self.history, self.names
+        first, history, names = self.first, self.history, self.names
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 if len(batch):
                     x = _Rows(batch)
-                    rate, copies = x.copies(history)
+                    rate, copies = x.copies(first, history)
                     source = pa.array([names[i] if i >= 0 else None for i in x.label.tolist()], pa.string())
                     out = pa.RecordBatch.from_arrays([batch.column(0), source, batch.column(2), pa.array(rate), pa.array(copies.astype(np.int32))], names=["id", "source", "size", "rate", "copies"])
                     yield out.filter(pa.array(copies > 0))
