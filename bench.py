@@ -46,6 +46,8 @@ def main() -> None:
 
     table = core._dense_records(spark, DIR).repartition(int(CPUS)).persist()  # the index's shards
     size = table.count()
+    for df in (lexical.build_index(table.limit(2000), synonyms=core.SYNONYMS).docs, lexical.build_index(table.limit(2000), synonyms=core.SYNONYMS).terms):
+        df.count()  # compiled before, as a running server has it
     began = time.perf_counter()
     index = lexical.build_index(table, synonyms=core.SYNONYMS).persist()
     took["index_build"] = round(time.perf_counter() - began, 3)
