@@ -195,9 +195,12 @@ def _top(source: str, k: int) -> str:
 
 SQL["bm25_plain"] = f"{_bm25(False)} {_top('sc', 10)}"
 SQL["bm25_keyword"] = f"{_BM25}, fs2 AS (SELECT DISTINCT record_id FROM post WHERE field = 'title' AND term IN ('tyre', 'wheel')), kept AS (SELECT * FROM sc WHERE record_id IN (SELECT record_id FROM fs2)) {_top('kept', 10)}"
+SQL["posting_lists"] = f"{_INDEX} SELECT field, term, count(*) AS records, sum(tf)::BIGINT AS occurrences FROM post GROUP BY ALL"
 SQL["bm25_topk"] = f"{_BM25} {_top('sc', 10)}"
 SQL["bm25_filtered"] = f"{_BM25}, ok AS (SELECT record_id FROM r WHERE starts_with(classification_raw, 'B60') AND record_type = 'claim'), kept AS (SELECT * FROM sc WHERE record_id IN (SELECT record_id FROM ok)) {_top('kept', 10)}"
 
+SQL["bm25_postings"] = SQL["bm25_filtered"]
+
 
 def _dense(where: str, k: int) -> str:
     return f"""vec AS (

@@ -158,6 +158,19 @@ def bm25_keyword(spark, d):
     return lexical.bm25_search(_index(spark, d), _eval(spark, d), 10, Filters(title_keyword="tires, wheel", synonyms=SYNONYMS), synonyms=SYNONYMS)
 
 
+def bm25_postings(spark, d):
+    """By the postings of the queries' terms instead of a scan."""
+    index = _index(spark, d)
+    return lexical.postings_search(index, lexical.postings(index), _eval(spark, d), 10, Filters(classification_prefix="B60", record_types=["claim"]), synonyms=SYNONYMS)
+
+
+def posting_lists(spark, d):
+    """How many records and occurrences each term of a field has by its postings."""
+    index = _index(spark, d)
+    per = lexical.postings(index).groupBy("field", "h").agg(F.count("*").alias("records"), F.sum("tf").alias("occurrences"))
+    return index.terms.select("field", "term", F.xxhash64("term").alias("h")).join(per, ["field", "h"], "left").select("field", "term", "records", "occurrences")
+
+
 def bm25_plain(spark, d):
     """Without synonyms and stems."""
     return lexical.bm25_search(lexical.build_index(_records(spark, d), stem=False), _eval(spark, d), 10, stem=False)
@@ -612,7 +625,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         project_fields, filter_exact_title, filter_exclude_patent, normalize_claims, word_counts, claim_segments, claim_numbers, reconstruct_claims, reconstruction_stats, claim_parents, claim_invariant,
-        build_records, chunk_passages, term_statistics, field_statistics, bm25_topk, bm25_filtered, bm25_keyword, bm25_plain, dense_topk, dense_filtered, dense_table, hybrid_topk, hybrid_grouped, group_runs, engine_search, engine_patents, request_checks,
+        build_records, chunk_passages, term_statistics, field_statistics, bm25_topk, bm25_filtered, bm25_keyword, bm25_plain, bm25_postings, posting_lists, dense_topk, dense_filtered, dense_table, hybrid_topk, hybrid_grouped, group_runs, engine_search, engine_patents, request_checks,
         facet_subclass, facet_record_type, corpus_stats, patent_lookup, latest_patents, validate_issues, quality_report, evaluate_queries, evaluate_systems, latency_percentiles, pool_candidates, pool_stats,
         pool_unjudged, merge_qrels, t_test_terms, compare_systems, compare_t, comparison_lines, trec_run, eval_set, eval_set_lines, paraphrase, judge_pool, apply_judgements, first_judgements, overlap_report, cross_patent, ltr_features, ltr_labels, ltr_usable_rows, ltr_split, ltr_rerank, rerank_identity,
         rerank_overlap, rerank_pairs, rerank_graded, embed_registered, lexical_overlap, synonym_terms, stem_terms, content_hash, hashing_embed, job_enqueue_decision, job_counts, job_summary, job_failures, job_claim, job_reclaim, job_advance, job_outcomes, job_lookup, ingest_jobs, ingest_again, records_upsert, records_json, corpus_patents, corpus_issues, extraction_report, event_windows, distinct_hits,

@@ -193,3 +193,17 @@ def test_registries(spark):
     for queries in (False, True):
         seen.append(hits.limit(1).select(models.embedder("bge-toy:bge-x", queries=queries)(F.lit("abc")).alias("v")).first().v[0])
     assert seen == [3.0, 3.0 + len(models.QUERY_PREFIX)]
+
+
+def test_postings_find_what_a_scan_finds(spark, tmp_path, monkeypatch):
+    records = spark.createDataFrame(DOCS + [(f"N{i}", "P9", "claim", "Wheel", f"a wheel number {i % 4} with rim rim", "x", "B60C1", i, True) for i in range(30)], SCHEMA)
+    index = lexical.build_index(records)
+    queries = spark.createDataFrame([("q1", "rim of a wheel"), ("q2", "hub hub"), ("q3", ""), ("q4", "nothing here")], "query_id string, text string")
+    lexical.write_postings(index, str(tmp_path / "postings"))
+    table = spark.read.parquet(str(tmp_path / "postings"))
+    for most in (5_000, 1):
+        monkeypatch.setattr(lexical, "MOST_TERMS", most)
+        for filters in (None, Filters(record_types=["claim"], classification_prefix="B60")):
+            want = sorted(map(tuple, lexical.bm25_search(index, queries, 7, filters).select("query_id", "record_id", "score", "rank").collect()))
+            got = sorted(map(tuple, lexical.postings_search(index, table, queries, 7, filters).select("query_id", "record_id", "score", "rank").collect()))
+            assert want == got and len(want) > 7
