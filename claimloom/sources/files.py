@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import json
 import os
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from claimloom.operators.pooling import first_judgements
+
 
 def read_synonyms(path: str) -> list[list[str]]:
     """Groups of a comma-separated synonym file (`a, b => c` counts as one group); comments and blanks are dropped, a missing file is empty."""
@@ -71,5 +74,14 @@ def write_report(report: DataFrame, path: str) -> None:
 
 
 def append_judgements(new: DataFrame, path: str) -> None:
-    """Appends (query_id, record_id, grade, seq) to a judgement cache; readers keep the first of each pair."""
-    new.write.mode("append").json(path)
+    """Adds (query_id, record_id, grade) to a judgement cache of JSON lines, in the order of its additions."""
+    new.select("query_id", "record_id", F.col("grade").cast("int").alias("grade"), F.lit(time.time_ns()).alias("seq")).write.mode("append").json(path)
+
+
+def read_judgements(spark: SparkSession, path: str) -> DataFrame:
+    """(query_id, record_id, grade) of a judgement cache: of each pair the first. One that isn't there is empty."""
+    schema = "query_id string, record_id string, grade int, seq bigint"
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        return spark.createDataFrame([], "query_id string, record_id string, grade int")
+    return first_judgements(spark.read.schema(schema).json(path))

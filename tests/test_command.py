@@ -7,7 +7,7 @@ from claimloom.operators import evalset
 from claimloom.plans.engine import check_request, hashing_engine
 from claimloom.operators.filters import Filters
 from claimloom.plans.training import train_and_evaluate
-from claimloom.sources.files import write_eval_set, write_report
+from claimloom.sources.files import read_eval_set, read_judgements, write_eval_set, write_report
 
 
 def test_from_files_to_scores(spark, tmp_path, capsys):
@@ -27,8 +27,24 @@ def test_from_files_to_scores(spark, tmp_path, capsys):
     table = spark.read.parquet(paths["records"])
     queries = evalset.build_eval_set(table, 12)
     write_eval_set(queries, {}, paths["eval.jsonl"])
-    main(["evaluate", paths["index"], paths["eval.jsonl"], "--method", "hybrid_reranked"])
-    assert "hybrid_reranked" in capsys.readouterr().out
+    main(["index", paths["records"], paths["index"], "--keep"])
+    assert "kept" in capsys.readouterr().out
+    main(["evaluate", paths["index"], paths["eval.jsonl"], "--method", "bm25", "--method", "hybrid_reranked", "--trec", str(tmp_path / "trec"), "--prefix", "a"])
+    said = capsys.readouterr().out
+    assert all(x in said for x in ("hybrid_reranked", "recall ceilings", "paired bootstrap test", "delta=", "first graded record"))
+    assert spark.read.text(str(tmp_path / "trec" / "bm25")).first().value.split()[1] == "Q0"
+    for _ in range(2):  # the second time all judgements are in the cache
+        main(["qrels", paths["index"], paths["eval.jsonl"], str(tmp_path / "judged"), str(tmp_path / "pooled.jsonl"), "--method", "bm25"])
+        merged, notes = read_eval_set(spark, str(tmp_path / "pooled.jsonl"))
+        assert notes["pooled"] and merged.count() > 0
+    cache = read_judgements(spark, str(tmp_path / "judged"))
+    assert cache.count() == cache.select("query_id", "record_id").distinct().count() > 0
+    main(["train", paths["index"], paths["eval.jsonl"], str(tmp_path / "model"), "--trees", "2"])
+    main(["search", paths["index"], "part7", "--method", "hybrid_reranked", "--reranker", "ltr", "--model", str(tmp_path / "model")])
+    capsys.readouterr()
+    main(["benchmark", paths["index"], "--method", "bm25", "--repeats", "1"])
+    rows = json.loads(capsys.readouterr().out)
+    assert [(r["method"], r["filters"], r["n"]) for r in rows] == [("bm25", "unfiltered", 10), ("bm25", "filtered", 10)] and rows[0]["stages_p50_ms"]["total"] > 0
     write_report(table.groupBy("record_type").count(), str(tmp_path / "report.json"))
     assert len(json.loads((tmp_path / "report.json").read_text())) == 4
     result = train_and_evaluate(hashing_engine(table), queries, depth=20, test_fraction=0.4, iterations=3)
