@@ -86,3 +86,40 @@ def test_long_islands_garbled_twice(letters):
     twice = read_as(read_as(word, "utf-8", "cp1252"), "utf-8", "cp1252")
     new, undone, _ = r.repair(f"Das ist {twice} hier")
     assert new == f"Das ist {word} hier" and undone == ["cp1252+cp1252"]
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_precision_and_recall_in_the_given_documents(spark, seed):
+    """Passages of sound documents read wrongly in ten ways: nearly all found and restored, and hardly anything else reported."""
+    import pathlib
+    import random
+
+    d = pathlib.Path("/root/testdata/sf0.01")
+    if not d.exists():
+        pytest.skip("no tables")
+    texts = [r.text or "" for r in spark.read.parquet(f"{d}/documents.parquet").orderBy("doc_id").collect()]
+
+    def reported(ts):
+        r = repairer(ts)
+        got = {i: r.repair(t) for i, t in enumerate(ts) if not t.isascii()}
+        return {i: new for i, (new, _, wrong) in got.items() if wrong}
+
+    before = set(reported(texts))
+    rng = random.Random(seed)
+    ways = [("utf-8", w) for w in ("cp1252", "latin-1", "mac_roman", "cp437", "cp850", "cp1251")] + [("cp1252", w) for w in ("mac_roman", "cp437", "cp850", "cp1251")]
+    bad, planted = list(texts), {}
+    for i in rng.sample([i for i, t in enumerate(texts) if i not in before and not t.isascii()], 60):
+        t, (written, read) = texts[i], rng.choice(ways)
+        at = rng.choice([j for j, c in enumerate(t) if ord(c) > 127])
+        lo, hi = rng.choice([(0, len(t)), (max(0, at - rng.randint(0, 80)), min(len(t), at + rng.randint(1, 80)))])
+        try:
+            part = read_as(t[lo:hi], written, read)
+        except UnicodeEncodeError:
+            continue
+        if part != t[lo:hi]:
+            bad[i] = t[:lo] + part + t[hi:]
+            planted[i] = t
+    after = reported(bad)
+    assert len(planted) > 40 and len(planted.keys() & after.keys()) >= 0.95 * len(planted)
+    assert sum(after.get(i) == t for i, t in planted.items()) >= 0.9 * len(planted)
+    assert len(after.keys() - planted.keys() - before) <= 2
