@@ -227,8 +227,8 @@ class Mixture:
         thinned = labelled.where(F.pmod(F.xxhash64("id", "label"), F.lit(1 << 40)) <= int(share * (1 << 40)))
         sample = thinned.orderBy(F.xxhash64("id", "label"), "id").limit(train_rows).select("text", "label").collect()
         texts, labels = [r.text for r in sample], [known[r.label] for r in sample]
-        self.accuracy = held_out_accuracy(texts, labels, len(self.names))
-        classifier = spark.sparkContext.broadcast(SourceClassifier(texts, labels, len(self.names)))
+        fitted, self.accuracy = fitted_classifier(texts, labels, len(self.names))
+        classifier = spark.sparkContext.broadcast(fitted)
         schema = f"id {self.key_type}, {_MEASURED}"
         if self.names:
             self.rows = materialise(base.mapInArrow(lambda it: _measured(it, sizes, classifier.value, known, caps), schema))
@@ -317,11 +317,10 @@ class Mixture:
         return self.rows.mapInArrow(run, f"id {self.key_type}, source string, size bigint, rate double, copies int").withColumnRenamed("id", key)
 
 
-def held_out_accuracy(texts: list[str], labels: list[int], classes: int) -> float | None:
-    """The share of every HELD_OUT-th row whose label a classifier fitted on the others finds; None for too few rows."""
-    held = list(range(0, len(texts), HELD_OUT))
+def fitted_classifier(texts: list[str], labels: list[int], classes: int) -> tuple[SourceClassifier, float | None]:
+    """A classifier, and the share of the rows held out of its fitting (every HELD_OUT-th) whose label it finds; None and all rows fitted for too few."""
     if len(texts) < 5 * HELD_OUT:
-        return None
-    rest = [i for i in range(len(texts)) if i % HELD_OUT]
+        return SourceClassifier(texts, labels, classes), None
+    rest, held = ([i for i in range(len(texts)) if (i % HELD_OUT == 0) == out] for out in (False, True))
     c = SourceClassifier([texts[i] for i in rest], [labels[i] for i in rest], classes)
-    return float(np.mean(c.posteriors([texts[i] for i in held]).argmax(axis=1) == [labels[i] for i in held]))
+    return c, float(np.mean(c.posteriors([texts[i] for i in held]).argmax(axis=1) == [labels[i] for i in held]))
