@@ -70,3 +70,12 @@ def build_records(patents: DataFrame, claims: DataFrame) -> DataFrame:
         .unionByName(records(claimed, "claim", F.concat(F.lit("claim:"), F.col("claim_number")), F.col("_text"), claim_number=F.col("claim_number"), is_independent=F.col("is_independent")))
         .unionByName(records(passages, "description", F.format_string("description:%d-%d", "c.start", "c.end"), F.col("c.text"), paragraph_start=F.col("c.start"), paragraph_end=F.col("c.end")))
     )
+
+
+def with_vectors(records: DataFrame, vectors: DataFrame, key: str = "record_id") -> DataFrame:
+    """Records with the vector that a model made of them, null where it made none; of several of a record the least counts.
+
+    vectors: (record_id, vector). A record without a vector is found by its words only.
+    """
+    one = vectors.where(F.col(key).isNotNull() & F.col("vector").isNotNull()).groupBy(key).agg(F.min("vector").alias("embedding"))
+    return records.drop("embedding").join(one, key, "left")

@@ -185,7 +185,8 @@ class SearchEngine:
     @staticmethod
     def served_patents(patents: DataFrame) -> DataFrame:
         """Grouped patents as they are given out: the score to four digits, the first supporting hits and how many there are."""
-        return patents.withColumns({"score": F.round("score", 4), "supporting_count": F.size("supporting"), "supporting": F.slice("supporting", 1, SUPPORTING)})
+        # rounded twice, so that the last bit of a sum doesn't decide between two results
+        return patents.withColumns({"score": F.round(F.round("score", 9), 4), "supporting_count": F.size("supporting"), "supporting": F.slice("supporting", 1, SUPPORTING)})
 
     def patent(self, patents: DataFrame, patent_id: str) -> DataFrame:
         """One patent with its raw non-blank paragraphs; empty if there is none."""

@@ -401,7 +401,7 @@ fused AS (SELECT *, coalesce(1.0::DOUBLE / (60 + bm25_rank), 0) + coalesce(1.0::
 hy AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, bm25_rank NULLS LAST, vector_rank NULLS LAST) AS fr FROM fused QUALIFY fr <= 50),
 rr AS (SELECT hy.*, r.text, {_overlap('q.text', 'r.text[1:2000]')} AS v FROM hy JOIN r USING (record_id) JOIN eval_queries q USING (query_id))
 SELECT query_id, record_id, round(v, 4) AS score, round(v, 4) AS rerank_score, bm25_rank, vector_rank, row_number() OVER (PARTITION BY query_id ORDER BY v DESC, fr)::INT AS rank, text[1:400] AS text FROM rr QUALIFY rank <= 10"""
-SQL["engine_patents"] = f"""{_BM25}, bt AS ({_top('sc', 20)}), hp AS (SELECT bt.*, patent_id FROM bt JOIN r USING (record_id)), {_grouped('hp', 4).replace('SELECT query_id, patent_id, round', 'SELECT query_id, patent_id, supporting AS s, round', 1).replace('best, supporting,', 'best, supporting[1:5] AS supporting, len(supporting)::INT AS supporting_count,', 1).replace('supporting AS s, ', '', 1)}"""
+SQL["engine_patents"] = f"""{_BM25}, bt AS ({_top('sc', 20)}), hp AS (SELECT bt.*, patent_id FROM bt JOIN r USING (record_id)), {_grouped('hp', 9).replace('round(score, 9)', 'round(round(score, 9), 4)').replace('best, supporting,', 'best, supporting[1:5] AS supporting, len(supporting)::INT AS supporting_count,', 1)}"""
 SQL["request_checks"] = """SELECT * FROM (VALUES ('fits', true), ('unknown method', false), ('no reranker', false), ('no embedder', false), ('fewer candidates than results', false), ('too many results', false), ('no results', false), ('empty query', false),
   ('longest query', true), ('query too long', false), ('prefix too long', false), ('keyword too long', false), ('title too long', false), ('patent too long', false), ('known embedder', true), ('unknown embedder', false), ('known reranker', true), ('unknown reranker', false)) t(request, accepted)"""
 _PRIME = (1 << 31) - 1
@@ -460,3 +460,7 @@ UNION ALL SELECT patent_id, 'title', 'blank', 'warning', file FROM s WHERE {_nor
 UNION ALL SELECT patent_id, 'detailed_description', 'all paragraphs blank', 'warning', file FROM s WHERE {_hollow('description_paragraphs')} UNION ALL SELECT patent_id, 'doc_number', 'duplicate across corpus', 'error', file FROM s WHERE file LIKE '%\\_b%' ESCAPE '\\'"""
 _STATS = ["claims_total", "independent", "dependent", "number_inferred", "multi_fragment", "status_canceled", "status_original_complete", "status_preamble_stripped", "status_rejoined_continuation", "patents_with_out_of_order_numbering"]
 SQL["extraction_report"] = f"WITH z AS ({SQL['reconstruction_stats']}), y AS ({_CLAIMS} SELECT claim_id FROM c GROUP BY claim_id HAVING count(*) > 1) " + " UNION ALL ".join([*[f"SELECT 'claims' AS section, '{c}' AS key, {c}::BIGINT AS value FROM z" for c in _STATS], "SELECT 'claims', 'numbers_given_twice', count(*) FROM y"])
+SQL["records_with_vectors"] = """WITH r AS (SELECT DISTINCT record_id, record_type FROM search_records), v AS (SELECT record_id, min(embedding) AS e FROM search_records WHERE record_type = 'claim' AND len(embedding) = 64 GROUP BY record_id)
+SELECT record_id, record_type, e IS NOT NULL AS embedded, round(e[1]::DOUBLE, 6) AS first FROM r LEFT JOIN v USING (record_id)"""
+_SPLIT = SQL["ltr_split"].replace("SELECT query_id, record_id, patent_id, CASE", "SELECT f.*, CASE").replace("min(nullif(lower(trim(patent_id)), '')) AS patent_id FROM", "min(nullif(lower(trim(patent_id)), '')) AS patent_id, arg_min(label, {'l': nullif(lower(trim(patent_id)), '') IS NULL, 'p': nullif(lower(trim(patent_id)), ''), 'f': features, 'x': label}) AS label FROM")
+SQL["ltr_report"] = f"SELECT split, count(*) AS rows, count(DISTINCT patent_id) AS patents, " + ", ".join(f"count_if(label = {g})::BIGINT AS label_{g}" for g in range(4)) + f" FROM ({_SPLIT}) GROUP BY split"

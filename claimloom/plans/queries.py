@@ -579,6 +579,20 @@ def records_upsert(spark, d):
     return files.upsert_records(r, new).select("record_id", "text")
 
 
+def records_with_vectors(spark, d):
+    """Records and vectors kept apart, joined for an index; vectors of claims only, so that other records have none."""
+    table = read_table(spark, d, "search_records")
+    vectors = table.where("record_type = 'claim' AND size(embedding) = 64").select("record_id", F.col("embedding").alias("vector"))
+    made = records.with_vectors(_records(spark, d, ["record_id", "record_type"]), vectors)
+    return made.select("record_id", "record_type", F.col("embedding").isNotNull().alias("embedded"), F.round(F.col("embedding")[0].cast("double"), 6).alias("first"))
+
+
+def ltr_report(spark, d):
+    """Rows, patents and labels of either part of the split."""
+    rows = ltr.split_by_patent(ltr.usable_rows(read_table(spark, d, "feature_rows")))
+    return rows.groupBy("split").agg(F.count("*").alias("rows"), F.count_distinct("patent_id").alias("patents"), *[F.count_if(F.col("label") == g).alias(f"label_{g}") for g in range(4)])
+
+
 def records_json(spark, d):
     """Records as JSON lines without null fields, and read again."""
     r = _records(spark, d)
@@ -627,8 +641,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         project_fields, filter_exact_title, filter_exclude_patent, normalize_claims, word_counts, claim_segments, claim_numbers, reconstruct_claims, reconstruction_stats, claim_parents, claim_invariant,
         build_records, chunk_passages, term_statistics, field_statistics, bm25_topk, bm25_filtered, bm25_keyword, bm25_plain, bm25_postings, posting_lists, dense_topk, dense_filtered, dense_table, hybrid_topk, hybrid_grouped, group_runs, engine_search, engine_patents, request_checks,
         facet_subclass, facet_record_type, corpus_stats, patent_lookup, latest_patents, validate_issues, quality_report, evaluate_queries, evaluate_systems, latency_percentiles, pool_candidates, pool_stats,
-        pool_unjudged, merge_qrels, t_test_terms, compare_systems, compare_t, comparison_lines, trec_run, eval_set, eval_set_lines, paraphrase, judge_pool, apply_judgements, first_judgements, overlap_report, cross_patent, ltr_features, ltr_labels, ltr_usable_rows, ltr_split, ltr_rerank, rerank_identity,
-        rerank_overlap, rerank_pairs, rerank_graded, embed_registered, lexical_overlap, synonym_terms, stem_terms, content_hash, hashing_embed, job_enqueue_decision, job_counts, job_summary, job_failures, job_claim, job_reclaim, job_advance, job_outcomes, job_lookup, ingest_jobs, ingest_again, records_upsert, records_json, corpus_patents, corpus_issues, extraction_report, event_windows, distinct_hits,
+        pool_unjudged, merge_qrels, t_test_terms, compare_systems, compare_t, comparison_lines, trec_run, eval_set, eval_set_lines, paraphrase, judge_pool, apply_judgements, first_judgements, overlap_report, cross_patent, ltr_features, ltr_labels, ltr_usable_rows, ltr_split, ltr_report, ltr_rerank, rerank_identity,
+        rerank_overlap, rerank_pairs, rerank_graded, embed_registered, lexical_overlap, synonym_terms, stem_terms, content_hash, hashing_embed, job_enqueue_decision, job_counts, job_summary, job_failures, job_claim, job_reclaim, job_advance, job_outcomes, job_lookup, ingest_jobs, ingest_again, records_upsert, records_with_vectors, records_json, corpus_patents, corpus_issues, extraction_report, event_windows, distinct_hits,
     )
 }
 QUERIES |= {
