@@ -401,7 +401,7 @@ fused AS (SELECT *, coalesce(1.0::DOUBLE / (60 + bm25_rank), 0) + coalesce(1.0::
 hy AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, bm25_rank NULLS LAST, vector_rank NULLS LAST) AS fr FROM fused QUALIFY fr <= 50),
 rr AS (SELECT hy.*, r.text, {_overlap('q.text', 'r.text[1:2000]')} AS v FROM hy JOIN r USING (record_id) JOIN eval_queries q USING (query_id))
 SELECT query_id, record_id, round(v, 4) AS score, round(v, 4) AS rerank_score, bm25_rank, vector_rank, row_number() OVER (PARTITION BY query_id ORDER BY v DESC, fr)::INT AS rank, text[1:400] AS text FROM rr QUALIFY rank <= 10"""
-SQL["engine_patents"] = f"""{_BM25}, bt AS ({_top('sc', 20)}), hp AS (SELECT bt.*, patent_id FROM bt JOIN r USING (record_id)), {_grouped('hp', 9).replace('round(score, 9)', 'round(round(score, 9), 4)').replace('best, supporting,', 'best, supporting[1:5] AS supporting, len(supporting)::INT AS supporting_count,', 1)}"""
+SQL["engine_patents"] = f"""{_BM25}, bt AS ({_top('sc', 20)}), hp AS (SELECT bt.*, patent_id FROM bt JOIN r USING (record_id)), {_grouped('hp', 9).replace('round(score, 9)', 'round(score::DECIMAL(18, 9), 4)::DOUBLE').replace('best, supporting,', 'best, supporting[1:5] AS supporting, len(supporting)::INT AS supporting_count,', 1)}"""
 SQL["request_checks"] = """SELECT * FROM (VALUES ('fits', true), ('unknown method', false), ('no reranker', false), ('no embedder', false), ('fewer candidates than results', false), ('too many results', false), ('no results', false), ('empty query', false),
   ('longest query', true), ('query too long', false), ('prefix too long', false), ('keyword too long', false), ('title too long', false), ('patent too long', false), ('known embedder', true), ('unknown embedder', false), ('known reranker', true), ('unknown reranker', false)) t(request, accepted)"""
 _PRIME = (1 << 31) - 1
