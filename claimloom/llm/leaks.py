@@ -124,8 +124,9 @@ def _inner_distance(x: np.ndarray, y: np.ndarray, most: int) -> np.ndarray:
     """As _edit_distance, to any consecutive symbols of y, which has `most` more than x on either side."""
     n, w = x.shape
     kept = np.zeros((n, w), bool)
+    half_x, half_y = x.astype(np.uint32), y.astype(np.uint32)  # half of each hash is enough to rule out
     for s in range(2 * most + 1):
-        kept |= x == y[:, s : s + w]
+        kept |= half_x == half_y[:, s : s + w]
     maybe = np.flatnonzero(kept.sum(axis=1) >= w - most)
     out = np.full(n, most + 1, np.int16)
     for i in range(0, len(maybe), 20_000):
@@ -260,7 +261,7 @@ def _long_hits(words: np.ndarray, begins: np.ndarray, pad: int, index: ItemIndex
     at, y, of, item = at[enough], y[enough], of[enough], item[enough]
     first = np.minimum(index.offset[y], index.sizes[item] - width)
     back = index.offset[y] - first
-    _, one = np.unique(np.stack([at - back, index.at[y] - back]), axis=1, return_index=True)
+    _, one = np.unique((at - back) * np.int64(len(index.words) + 1) + (index.at[y] - back), return_index=True)
     at, y, of, item, first, back = (c[one] for c in (at, y, of, item, first, back))
     for i in range(0, len(at), 50_000):
         part = slice(i, i + 50_000)
