@@ -120,18 +120,13 @@ def _edit_distance(x: np.ndarray, y: np.ndarray, most: int) -> np.ndarray:
     return out
 
 
-def _inner_distance(x: np.ndarray, y: np.ndarray, most: int) -> np.ndarray:
-    """As _edit_distance, to any consecutive symbols of y, which has `most` more than x on either side."""
+def _keeps_enough(x: np.ndarray, y: np.ndarray, most: int) -> np.ndarray:
+    """Which rows of x may be within `most` edits of consecutive symbols of y, which has `most` more than x on either side."""
     n, w = x.shape
     kept = np.zeros((n, w), bool)
-    half_x, half_y = x.astype(np.uint32), y.astype(np.uint32)  # half of each hash is enough to rule out
     for s in range(2 * most + 1):
-        kept |= half_x == half_y[:, s : s + w]
-    maybe = np.flatnonzero(kept.sum(axis=1) >= w - most)
-    out = np.full(n, most + 1, np.int16)
-    for i in range(0, len(maybe), 20_000):
-        out[maybe[i : i + 20_000]] = _full_distance(x[maybe[i : i + 20_000]], y[maybe[i : i + 20_000]], inner=True)
-    return out
+        kept |= x == y[:, s : s + w]
+    return kept.sum(axis=1) >= w - most
 
 
 def _full_distance(x: np.ndarray, y: np.ndarray, inner: bool = False) -> np.ndarray:
@@ -193,7 +188,8 @@ class ItemIndex:
             if len(maybe):
                 inner = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
                 found.append(np.repeat(maybe, count) * n + self.order[t][np.repeat(lo, count) + inner])
-        both = np.unique(np.concatenate(found)) if found else np.empty(0, np.int64)
+        both = np.sort(np.concatenate(found)) if found else np.empty(0, np.int64)
+        both = both[np.r_[True, both[1:] != both[:-1]]] if len(both) else both
         return both // max(n, 1), both % max(n, 1)
 
 
@@ -263,14 +259,24 @@ def _long_hits(words: np.ndarray, begins: np.ndarray, pad: int, index: ItemIndex
     back = index.offset[y] - first
     _, one = np.unique((at - back) * np.int64(len(index.words) + 1) + (index.at[y] - back), return_index=True)
     at, y, of, item, first, back = (c[one] for c in (at, y, of, item, first, back))
-    for i in range(0, len(at), 50_000):
-        part = slice(i, i + 50_000)
-        here = (at - back)[part, None] + np.arange(-most, width + most)
-        inside = (here >= begins[of[part], None]) & (here < begins[of[part] + 1, None] - pad)
-        near_text = np.where(inside, words[np.clip(here, 0, len(words) - 1)], _PAD)
-        distance = _inner_distance(index.words[(index.at[y] - back)[part, None] + np.arange(width)], near_text, most)
-        near = distance <= most
-        yield of[part][near], item[part][near], first[part][near], np.full(near.sum(), width), distance[near]
+    begin, own, low, high = at - back, index.at[y] - back, begins[of], begins[of + 1] - pad
+    halves = words.astype(np.uint32), index.words.astype(np.uint32)  # half of each hash is enough to rule out
+
+    def around(rows: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+        here = begin[rows, None] + np.arange(-most, width + most)
+        inside = (here >= low[rows, None]) & (here < high[rows, None])
+        return np.where(inside, symbols[np.clip(here, 0, len(symbols) - 1)], _PAD.astype(symbols.dtype))
+
+    kept = [np.empty(0, np.int64)]
+    for i in range(0, len(at), 20_000):
+        rows = np.arange(i, min(i + 20_000, len(at)))
+        kept.append(rows[_keeps_enough(halves[1][own[rows, None] + np.arange(width)], around(rows, halves[0]), most)])
+    kept = np.concatenate(kept)
+    for i in range(0, len(kept), 20_000):
+        rows = kept[i : i + 20_000]
+        distance = _full_distance(index.words[own[rows, None] + np.arange(width)], around(rows, words), inner=True)
+        rows, distance = rows[distance <= most], distance[distance <= most]
+        yield of[rows], item[rows], first[rows], np.full(len(rows), width), distance
 
 
 def leaks(documents: DataFrame, doc: str, text: str, items: DataFrame, item: str, passage: str, width: int = 12, most_edits: int = 1, long: tuple[int, int] | None = None) -> DataFrame:
