@@ -160,7 +160,7 @@ def bm25_keyword(spark, d):
 
 def bm25_postings(spark, d):
     """By the postings of the queries' terms instead of a scan."""
-    index = _index(spark, d)
+    index = lexical.build_index(_records(spark, d), synonyms=SYNONYMS, counted=True)
     return lexical.postings_search(index, lexical.postings(index), _eval(spark, d), 10, Filters(classification_prefix="B60", record_types=["claim"]), synonyms=SYNONYMS)
 
 
